@@ -24,7 +24,7 @@ def rows():
             copy[rng.randrange(300)] = f"x{rng.randrange(999)}"
         texts.append(" ".join(copy))
     texts += [words(rng, 10) + " " + passage + "\n" + words(rng, 10) for _ in range(8)] + [short, short + " tail", "head  " + short, " ".join([short, "mid", short])]
-    texts += ["same " * 120, "a b " * 100, "It's WE'LL <|endoftext|> café İstanbul ΟΔΟΣ 中文字 ½² x\u00a0y z\u2028q don't 12345 ¿qué? \u0085 e\u0301 😀👍 <|startoftext|>ok", "<|endoftext|>", words(rng, 30_000, 5000)]
+    texts += [" ".join(f"r{j} " * 50 for j in range(6)), " ".join([words(rng, 9, 10**6)] * 12), "same " * 120, "a b " * 100, "It's WE'LL <|endoftext|> café İstanbul ΟΔΟΣ 中文字 ½² x\u00a0y z\u2028q don't 12345 ¿qué? \u0085 e\u0301 😀👍 <|startoftext|>ok", "<|endoftext|>", words(rng, 30_000, 5000)]
     return [(i, t) for i, t in enumerate(texts)] + [(None, texts[40]), (None, "only once"), (3, texts[3]), (3, texts[3]), (-5, texts[41])]
 
 

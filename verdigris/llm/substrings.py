@@ -59,10 +59,11 @@ def word_hashes(words: list[bytes], known: WordHashes) -> np.ndarray:
 
 
 def edges_of(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...] | None:
-    """(k-mer hash, context hash, first window, last window) of each k-mer that is the least of some window.
+    """(k-mer hash, context hash, first window, last window, tied) of each k-mer that is the least of some window.
 
     The windows of one k-mer occurrence are consecutive. Its context is the path through it that they cover: the words
-    of [first, last + window) and where in them the k-mer lies.
+    of [first, last + window) and where in them the k-mer lies. tied: the k-mer occurs there again, so that windows of
+    this one occurrence may equal each other.
     """
     n = len(hashes) - window + 1
     if n < 1:
@@ -70,12 +71,32 @@ def edges_of(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]
     rolling = Rolling(hashes, BASE)
     kmers = rolling.runs(np.arange(len(hashes) - k + 1), k)
     span = window - k + 1
-    place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(kmers, span).argmin(axis=1)
+    views = np.lib.stride_tricks.sliding_window_view(kmers, span)
+    place = np.arange(n) + views.argmin(axis=1)
+    # Where equal k-mers tie (texts that repeat themselves), one occurrence serves all windows that hold it.
+    least = kmers[place]
+    moved = np.flatnonzero((place[1:] != place[:-1]) & (least[1:] == least[:-1]))
+    ties = np.zeros(n, bool)
+    done = 0
+    for i in moved.tolist():
+        if i < done:
+            continue
+        start = int(np.searchsorted(place[: i + 1], place[i]))
+        stop = start + int(np.argmax(np.concatenate((least[start:] != least[start], [True]))))
+        at = start + np.flatnonzero(kmers[start : stop + span - 1] == least[start])
+        window_at = start
+        while window_at < stop:
+            chosen = int(at[np.searchsorted(at, window_at + span) - 1])
+            until = min(stop, chosen + 1)
+            place[window_at:until] = chosen
+            window_at = until
+        ties[start:stop] = True
+        done = stop
     first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
     last = np.concatenate((first[1:] - 1, [n - 1]))
     at = place[first]
     context = mixed(rolling.runs(first, last - first + window) + ((at - first) * 1000 + (last - first)).astype(np.uint64) * BASE2)
-    return kmers[at], context, first, last
+    return kmers[at], context, first, last, ties[first]
 
 
 def row_key(doc_id: str, text: str) -> list[Column]:
@@ -87,25 +108,37 @@ KEY = ["__id", "__h"]
 
 
 def graph_edges(keyed: DataFrame, window: int, k: int) -> DataFrame:
-    """(kmer, context, __id, __h, first, last): the sampled edges with their source coordinates."""
+    """(kmer, context, __id, __h, first, last, weight, tied): the sampled edges with their source coordinates.
+
+    Occurrences with one context within a batch of documents are combined before anything is shuffled: one of them
+    carries their number as its weight, the others, proven by it, have weight 0 and a kmer that spreads them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 found: list[tuple[np.ndarray, ...]] = []
                 rows: list[np.ndarray] = []
                 for i, value in enumerate(part.column(2)):
                     if (edges := edges_of(word_hashes((value.as_py() or b"").split(), known), window, k)) is not None:
                         found.append(edges)
                         rows.append(np.full(len(edges[0]), i))
-                if found:
-                    kmer, context, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
-                    row = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(context.view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["kmer", "context", *KEY, "first", "last"])
-
-    return keyed.select(*KEY, F.col("__text").cast("binary").alias("text")).mapInArrow(run, "kmer long, context long, __id long, __h int, first int, last int")
+                if not found:
+                    continue
+                kmer, context, first, last, tied = (np.concatenate(c) for c in zip(*found, strict=True))
+                # A context's hash covers its k-mer: its words and the k-mer's place in them.
+                _, picked, counts = np.unique(context, return_index=True, return_counts=True)
+                weight = np.zeros(len(context), np.int64)
+                weight[picked] = counts
+                row = np.concatenate(rows)
+                spread = mixed(context + (row.astype(np.uint64) << np.uint64(32)) + first.astype(np.uint64))
+                kmer = np.where(weight > 0, kmer, spread)
+                taken = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(context.view(np.int64)), part.column(0).take(taken), part.column(1).take(taken), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(weight), pa.array(tied)], ["kmer", "context", *KEY, "first", "last", "weight", "tied"])
+
+    return keyed.select(*KEY, F.col("__text").cast("binary").alias("text")).mapInArrow(run, "kmer long, context long, __id long, __h int, first int, last int, weight long, tied boolean")
 
 
 def repeated_windows(texts: DataFrame, open_edges: DataFrame, window: int) -> DataFrame:
@@ -160,8 +193,8 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     coordinates and its windows are compared by 96-bit hashes. Repeated windows and compacted paths are then joined to
     the documents and united to spans.
 
-    Hot passages: contexts are compacted before any text is read again, so a group of copies costs one path. Counting
-    goes through windows over sorted runs, which spill. Null texts have no words; null ids are compared as one value and
+    Hot passages: occurrences are combined by context before the shuffle, and contexts are compacted before any text is
+    read again, so a group of copies costs one path. Counting goes through windows over sorted runs, which spill. Null texts have no words; null ids are compared as one value and
     rows are told apart by id and text (equal rows have equal results, and each counts as a place of its own); texts
     under `window` words keep all; empty tables give no rows. Other columns are passed on, whatever their names,
     but for the four that are added.
@@ -171,8 +204,10 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(*row_key(doc_id, text), F.col(text).alias("__text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text] or [F.lit(0).alias("c")]).alias("__row"))
     edges = graph_edges(texts, window, k)
     by_kmer, by_path = Window.partitionBy("kmer"), Window.partitionBy("kmer", "context")
-    told = edges.withColumns({"n": F.count("*").over(by_kmer), "low": F.min("context").over(by_kmer), "high": F.max("context").over(by_kmer), "same": F.count("*").over(by_path), "at": F.row_number().over(by_path.orderBy(*KEY, "first"))}).where("n > 1")
-    paths = stored(told.select(*KEY, "first", "last", (F.col("same") > 1).alias("proven"), ((F.col("at") == 1) & (F.col("low") != F.col("high"))).alias("asked")).where("proven or asked"), "paths")
+    told = edges.withColumns({"n": F.sum("weight").over(by_kmer), "low": F.min("context").over(by_kmer), "high": F.max("context").over(by_kmer), "same": F.sum("weight").over(by_path), "at": F.row_number().over(by_path.orderBy(*KEY, "first"))})
+    alone = F.col("weight") == 0
+    shown = told.where((F.col("n") > 1) | alone | F.col("tied")).select(*KEY, "first", "last", (alone | (F.col("same") > 1)).alias("proven"), (~alone & (F.col("at") == 1) & ((F.col("low") != F.col("high")) | F.col("tied"))).alias("asked"))
+    paths = stored(shown.where("proven or asked"), "paths")
     dealt = texts.repartition(*KEY)
     checked = repeated_windows(dealt, paths.where("asked").select(*KEY, "first", "last", (~F.col("proven")).alias("lone")), window)
     spans = paths.where("proven").select(*KEY, "first", "last").unionByName(checked).groupBy(*KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
