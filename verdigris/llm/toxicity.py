@@ -42,7 +42,8 @@ class Voters:
     patterns: list[tuple[str, int]] = field(default_factory=list)
 
     def __len__(self) -> int:
-        return len(self.words) + len(self.begins) + len(self.patterns)
+        """With the last one, which votes where all others abstain."""
+        return len(self.words) + len(self.begins) + len(self.patterns) + 1
 
     def fired(self, text: str, seen: set[str], patterns: list[tuple[re.Pattern, int]], leads: set[str]) -> list[int]:
         out = {self.words[w] for w in seen if w in self.words}
@@ -51,7 +52,7 @@ class Voters:
                 if w[:SHORTEST] in leads:
                     out.update(i for n in range(SHORTEST, LONGEST + 1) if (i := self.begins.get(w[:n])) is not None)
         out.update(i for p, i in patterns if p.search(text))
-        return sorted(out)
+        return sorted(out) or [len(self) - 1]
 
 
 @dataclass
@@ -148,11 +149,11 @@ def mine(sample: DataFrame, most: int = MINED) -> tuple[list[str], float]:
 def voters_for(mined: list[str]) -> Voters:
     v = Voters()
     for w in INSULTS:
-        v.words[w] = len(v)
+        v.words[w] = len(v) - 1
     for p in PATTERNS:
-        v.patterns.append((p, len(v)))
+        v.patterns.append((p, len(v) - 1))
     for b in mined:
-        v.begins[b] = len(v)
+        v.begins[b] = len(v) - 1
     return v
 
 
@@ -225,9 +226,8 @@ def label_model(patterns: DataFrame, n_voters: int, share: float, trusted: np.nd
 
 
 def log_odds(alpha: np.ndarray, beta: np.ndarray, prior: float, discount: np.ndarray) -> tuple[np.ndarray, float]:
-    """(what a firing voter adds, what no firing gives). Abstaining says little: only its log-ratio of silence counts."""
-    silent = np.log((1 - alpha) / (1 - beta)) / discount
-    return np.log(alpha / beta) / discount - silent, math.log(prior / (1 - prior)) + float(silent.sum())
+    """(what a vote adds, where it starts). An abstaining voter says nothing: voters speak different languages."""
+    return np.log(alpha / beta) / discount, math.log(prior / (1 - prior))
 
 
 def fit_linear(fired: list[list[int]], target: np.ndarray, n: int, ridge: float = 1e-6, steps: int = 1500) -> tuple[np.ndarray, float]:
