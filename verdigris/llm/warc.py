@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from verdigris.llm.common import free_name
+from verdigris.llm.common import free_name, stored
 
 COLUMNS = "record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload string"
 #: Bytes of an archive from which a reader's split is closed.
@@ -286,13 +286,13 @@ def revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Null html is an empty payload. Rows that repeat the smallest page_id are all responses; null ids come after all
     others and make a response only where no row of the payload has an id. Payloads are compared by SHA-1 and length. Only
-    digests that occur twice or more are joined, by a plain equi-join: Spark broadcasts them where they're few and
-    splits hot digests otherwise; the pages themselves are shuffled only in the latter case.
+    digests that occur twice or more are joined, by a plain equi-join. They're written first, so that Spark knows their
+    size: where they're few it broadcasts them and the pages aren't shuffled; else it splits hot digests.
     """
     (first, seen) = free_name(pages, "_first", "_seen")
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("_hex"), payload.alias("payload"))
-    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("_hex", "payload_bytes").agg(F.min("page_id").alias(first), F.count("*").alias(seen)).where(F.col(seen) > 1)
+    groups = stored(rows.where(F.col("payload_bytes") >= least_bytes).groupBy("_hex", "payload_bytes").agg(F.min("page_id").alias(first), F.count("*").alias(seen)).where(F.col(seen) > 1), "digests")
     met = rows.join(groups, ["_hex", "payload_bytes"], "left")
     again = F.col(first).isNotNull() & ~F.col("page_id").eqNullSafe(F.col(first))
     return met.select(
