@@ -137,7 +137,9 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         return pa.table({"segment": table["segment"], "entry": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()), "before": pa.array(emitted, pa.int64()), "ends": pa.array([i == n - 1 for i in range(n)]), "repair_cost": pa.array([total // UNIT] * n, pa.int64())})
 
     segments = turns.groupBy("conv_id", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "role"))), lambda x: x["role"]).alias("roles"))
-    states = segments.groupBy("conv_id").applyInArrow(solve, "segment long, entry int, leave int, before long, ends boolean, repair_cost long")
+    # A number of partitions of its own: the matrices are few bytes but much work, and would be put together in one task.
+    tasks = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = segments.repartition(tasks, "conv_id").groupBy("conv_id").applyInArrow(solve, "segment long, entry int, leave int, before long, ends boolean, repair_cost long")
     met = turns.join(states, "segment")
     one = met.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("pos", "conv_id", "turn", "role", "text"))).alias("rows"), *[F.first(c).alias(c) for c in ("entry", "leave", "before", "ends", "repair_cost")])
 
