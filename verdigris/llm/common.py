@@ -70,6 +70,16 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 32
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is among ids (one column); rows without an id stay.
+
+    The ids are written first, so that Spark knows their size: below its limit they're broadcast and the documents
+    aren't shuffled; beyond, both sides are.
+    """
+    known = stored(ids.toDF(doc_id).where(F.col(doc_id).isNotNull()).distinct(), "ids")
+    return docs.join(known, doc_id, "left_anti").select(*docs.columns)
+
+
 def char_class(prefix: str, end: int = LATIN_END) -> str:
     """A regular expression's class of the characters below end whose Unicode category starts with prefix."""
     return "".join(re.escape(chr(c)) for c in range(end) if unicodedata.category(chr(c)).startswith(prefix))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import broadcast_if_small
+from verdigris.llm.common import broadcast_if_small, without_ids
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -63,5 +63,4 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
     """The documents that contain no item; documents with a null id are kept."""
-    leaks = contained_items(docs, items, doc_id=doc_id, text=text, **options).select("doc_id").distinct()
-    return docs.join(leaks.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti").select(*docs.columns)
+    return without_ids(docs, contained_items(docs, items, doc_id=doc_id, text=text, **options).select("doc_id"), doc_id)

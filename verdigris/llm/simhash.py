@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import broadcast_if_small, stored
+from verdigris.llm.common import broadcast_if_small, stored, without_ids
 from verdigris.llm.components import connected_components
 
 WORDS = 3
@@ -191,5 +191,4 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows that repeat an id are one document and stay together; rows without an id stay.
     """
     groups = near_duplicates(docs, doc_id, text)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(dropped, doc_id, "left_anti").select(*docs.columns)
+    return without_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), doc_id)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import stored, without_ids
 
 #: Insults in common use, one voter each (fixed values).
 INSULTS = (
@@ -311,5 +311,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't predicted toxic; rows without an id stay."""
-    gone = toxicity(docs, labels, threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, toxicity(docs, labels, threshold).where("predicted = 1").select("doc_id"))
