@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import small_batches, stored
 
 WINDOW = 35
 #: Words of a k-mer. Of the WINDOW - KMER + 1 k-mers of a window the one of least hash (the leftmost) is its edge.
@@ -199,6 +199,7 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     under `window` words keep all; empty tables give no rows. Other columns are passed on, whatever their names,
     but for the four that are added.
     """
+    small_batches(docs.sparkSession)
     added = ("n_words", "n_removed", "kept_text", "kept_sha256")
     names = [c for c in docs.columns if c not in added]
     texts = docs.select(*row_key(doc_id, text), F.col(text).alias("__text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text] or [F.lit(0).alias("c")]).alias("__row"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import LATIN_END, NOT_LATIN, char_class, free_name
+from verdigris.llm.common import LATIN_END, NOT_LATIN, char_class, free_name, small_batches
 
 #: Frequent pre-tokens whose piece counts are sent to all tasks: at most so many, each at most so many characters.
 HEAD_SIZE = 1 << 18
@@ -114,6 +114,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     Null text is empty: no bytes, no tokens. Null and repeated ids stay one result per row, as rows are told apart by an
     internal number. Very long texts are counted whole; empty tables give no rows; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     (row,) = free_name(docs, "_row")
     shared = docs.sparkSession.sparkContext.broadcast(head(docs, vocabulary, text))
     rows = docs.select(F.monotonically_increasing_id().alias(row), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

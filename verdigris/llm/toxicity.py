@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored, without_ids
+from verdigris.llm.common import small_batches, stored, without_ids
 
 #: Insults in common use, one voter each (fixed values).
 INSULTS = (
@@ -256,6 +256,7 @@ def fit_linear(fired: list[list[int]], target: np.ndarray, n: int, ridge: float
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """(model, votes on all documents). Only labelled rows that aren't held out are learnt from."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels)
     mined, share = mine(sample)
     voters = voters_for(mined)
