@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import NOT_LATIN, small_batches
+from verdigris.llm.common import NOT_LATIN, lean, small_batches
 
 #: Windows, longest first. A filled window of any tier is a power of two long and needs no padding.
 TIERS = (2048, 1024, 512, 256)
@@ -208,4 +208,4 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks
         yield from pack_batches(batches, byte_bpe(place(vocabulary), place(ranks)), tiers, end_id, TaskContext.get().partitionId())
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), PIECE_SCHEMA)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import broadcast_if_small, small_batches, stored, without_ids
+from verdigris.llm.common import broadcast_if_small, lean, small_batches, stored, without_ids
 from verdigris.llm.components import connected_components
 
 WORDS = 3
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def syndrome(block: Column) -> Column:

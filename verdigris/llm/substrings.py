@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import small_batches, stored
+from verdigris.llm.common import lean, small_batches, stored
 
 WINDOW = 35
 #: Words of a k-mer. Of the WINDOW - KMER + 1 k-mers of a window the one of least hash (the leftmost) is its edge.
@@ -138,7 +138,7 @@ def graph_edges(keyed: DataFrame, window: int, k: int) -> DataFrame:
                 taken = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(kmer.view(np.int64)), pa.array(context.view(np.int64)), part.column(0).take(taken), part.column(1).take(taken), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(weight), pa.array(tied)], ["kmer", "context", *KEY, "first", "last", "weight", "tied"])
 
-    return keyed.select(*KEY, F.col("__text").cast("binary").alias("text")).mapInArrow(run, "kmer long, context long, __id long, __h int, first int, last int, weight long, tied boolean")
+    return keyed.select(*KEY, F.col("__text").cast("binary").alias("text")).mapInArrow(lean(run), "kmer long, context long, __id long, __h int, first int, last int, weight long, tied boolean")
 
 
 def repeated_windows(texts: DataFrame, open_edges: DataFrame, window: int) -> DataFrame:
@@ -173,7 +173,7 @@ def repeated_windows(texts: DataFrame, open_edges: DataFrame, window: int) -> Da
 
     asked = open_edges.groupBy(*KEY).agg(F.collect_list(F.struct("first", "last", "lone")).alias("ranges"))
     met = texts.join(asked, KEY, "left").select(*KEY, F.col("__text").cast("binary").alias("text"), "ranges", "__row")  # __row: the same columns as below, so that one shuffle serves both
-    windows = met.mapInArrow(run, "a long, b int, __id long, __h int, first int, lone boolean")
+    windows = met.mapInArrow(lean(run), "a long, b int, __id long, __h int, first int, lone boolean")
     seen = windows.withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))).where("n > 1 and lone")
     return seen.select(*KEY, "first", F.col("first").alias("last"))
 
@@ -235,6 +235,6 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     met = dealt.join(spans, KEY, "left").select(F.col("__text").cast("binary").alias("text"), "spans", "__row")
     kind = met.schema["__row"].dataType.simpleString()
-    done = met.mapInArrow(cut, f"__row {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    done = met.mapInArrow(lean(cut), f"__row {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     out = [F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names) if c != text]
     return done.select(*out, *added)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import LATIN_END, NOT_LATIN, char_class, free_name, small_batches
+from verdigris.llm.common import LATIN_END, NOT_LATIN, char_class, free_name, lean, small_batches
 
 #: Frequent pre-tokens whose piece counts are sent to all tasks: at most so many, each at most so many characters.
 HEAD_SIZE = 1 << 18
@@ -169,7 +169,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
             none = pa.nulls(len(numbers), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(total), none, none], ["row", "n", "doc_id", "n_bytes"])
 
-    spread = rows.mapInArrow(split, "row long, tok string, n long, doc_id long, n_bytes long").repartition(F.coalesce(F.col("tok"), F.col("row").cast("string"))).sortWithinPartitions("tok")
-    parts = spread.mapInArrow(merge, "row long, n long, doc_id long, n_bytes long")
+    spread = rows.mapInArrow(lean(split), "row long, tok string, n long, doc_id long, n_bytes long").repartition(F.coalesce(F.col("tok"), F.col("row").cast("string"))).sortWithinPartitions("tok")
+    parts = spread.mapInArrow(lean(merge), "row long, n long, doc_id long, n_bytes long")
     added = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return added.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import small_batches, stored, without_ids
+from verdigris.llm.common import lean, small_batches, stored, without_ids
 
 #: Insults in common use, one voter each (fixed values).
 INSULTS = (
@@ -102,7 +102,7 @@ def mine(sample: DataFrame, most: int = MINED) -> tuple[list[str], float]:
                 keys = [*pos, *(b for b in neg if b not in pos)]
                 yield pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), pa.array([*(pos.get(b, 0) for b in keys), rows[1]], pa.int64()), pa.array([*(neg.get(b, 0) for b in keys), rows[0]], pa.int64())], ["b", "pos", "neg"])
 
-    counts = sample.mapInArrow(opened, "b string, pos long, neg long").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.mapInArrow(lean(opened), "b string, pos long, neg long").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = counts.where("b = ''").first()
     p, n = (total["pos"], total["neg"]) if total else (0, 0)
     if not p or not n:
@@ -127,7 +127,7 @@ def mine(sample: DataFrame, most: int = MINED) -> tuple[list[str], float]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["held"])
 
     # Bounded: rows of the labelled sample times candidates.
-    held = sample.where("y = 1").select("text").mapInArrow(holding, "held array<int>").toArrow()["held"].to_pylist()
+    held = sample.where("y = 1").select("text").mapInArrow(lean(holding), "held array<int>").toArrow()["held"].to_pylist()
     holds = np.zeros((len(held), len(rows)), bool)
     for i, at in enumerate(held):
         holds[i, [j for j in at if j >= 0]] = True
@@ -172,7 +172,7 @@ def votes(docs: DataFrame, voters: Voters, *extra: str) -> DataFrame:
 
     rest = docs.select("text", "doc_id", *extra)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields[1:])
-    return rest.mapInArrow(run, f"{kinds}, fired array<int>")
+    return rest.mapInArrow(lean(run), f"{kinds}, fired array<int>")
 
 
 def label_model(patterns: DataFrame, n_voters: int, share: float, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
