@@ -103,3 +103,129 @@ def off_by(computed: DataFrame, published: DataFrame, keys: list[str], value: st
 def set_digest(df: DataFrame, column: str) -> DataFrame:
     """digest: SHA-256 over the sorted distinct values, one per line; one group by design, ids of one split."""
     return df.select(column).distinct().agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "\n"), 256).alias("digest"))
+
+
+# The one admitted protocol of hidden-state features.
+FEATURE_PROTOCOL = {
+    "protocol": "kossen_sep_2024",
+    "feature_response_decoding": "greedy",
+    "token_selection": "final_content_token_before_eos_or_eot",
+    "layer_selection": "preregistered_final_layer",
+    "generation_termination": "eos_or_eot",
+    "generation_config_source": "model_generation_config_clone",
+    "sampling_temperature": 1.0,
+    "sampling_top_p": 0.9,
+    "sampling_top_k": 50,
+    "sampling_num_responses": 10,
+    "feature_response_max_new_tokens": 256,
+}
+RECORD_COUNTS = {"triviaqa": 378, "nqopen": 400, "svamp": 300, "bio": 500}
+
+
+def feature_checks(metadata: Column, hidden: Column, greedy: Column, decoding: Column) -> dict[str, Column]:
+    """The checks of a record's hidden-state feature: taken at a terminator, excluded, or recovered after exclusion.
+
+    metadata is a struct of sources.schema.FEATURE. An excluded record (greedy decoding never ended) has no vector and
+    no positions; one that names a feature_backfill has a vector but no positions; all others have both.
+    """
+    m = metadata
+    sha = r"^[0-9a-fA-F]{40}$"
+    excluded = F.coalesce(m["greedy_degenerate_excluded"], F.lit(False))
+    back = m["feature_backfill"]
+    absent = excluded & back.isNull()
+    plain = ~excluded
+    stopped = F.coalesce(m["feature_token_basis"], F.lit("eos_terminated")) == "stop_truncated"
+    ends, index, end = m["termination_token_ids"], m["generated_content_token_index"], m["terminating_special_token_id"]
+
+    def text(x: Column) -> Column:
+        return F.trim(x) != ""
+
+    def where(applies: Column, check: Column) -> Column:
+        return F.when(applies, check).otherwise(True)
+
+    out = {f"feature.{k}: admitted value": m[k] == v for k, v in FEATURE_PROTOCOL.items()}
+    out |= {f"feature.{k}: non-empty string": text(m[k]) for k in ("model_id", "tokenizer_id")}
+    out |= {f"feature.{k}: full revision": m[k].rlike(sha) for k in ("model_revision", "tokenizer_revision")}
+    out |= {f"feature.{k}: integer": m[k].isNotNull() for k in ("hidden_layer", "sampling_max_new_tokens", "base_seed", "prompt_seed")}
+    ended, cut = m["sampled_eos_or_eot_count"], m["sampled_max_new_tokens_count"]
+    out["feature: termination counts"] = (ended >= 0) & (cut >= 0) & (ended + cut == m["sampling_num_responses"])
+    out["feature.termination_token_ids: sorted, distinct, not empty"] = (F.size(ends) > 0) & (ends == F.array_sort(F.array_distinct(ends)))
+    for k, want in (("temperature", F.lit(1.0)), ("top_p", F.lit(0.9)), ("top_k", F.lit(50)), ("num_samples", F.lit(10)), ("max_new_tokens", m["sampling_max_new_tokens"]), ("seed", m["base_seed"])):
+        out[f"decoding.{k}: as in the feature"] = decoding[k] == want
+    out["greedy answer: present"] = greedy.isNotNull()
+    out["hidden state: finite vector, or none if excluded"] = F.when(absent, hidden.isNull()).otherwise((F.size(hidden) > 0) & F.forall(hidden, finite))
+    out["feature.hidden_dimension: the vector's length"] = F.when(absent, m["hidden_dimension"].isNull()).otherwise(m["hidden_dimension"] == F.size(hidden))
+    out["feature: no positions if excluded"] = where(excluded, end.isNull() & index.isNull() & m["full_sequence_token_index"].isNull())
+    out["feature_backfill: named and revised"] = where(excluded & back.isNotNull(), text(back["method"]) & text(back["token_selection"]) & text(back["model_id"]) & back["model_revision"].rlike(sha) & back["hidden_layer"].isNotNull())
+    out["feature_token_basis: closed vocabulary"] = where(plain, F.coalesce(m["feature_token_basis"].isin("eos_terminated", "stop_truncated"), F.lit(True)))
+    out["feature: terminator"] = where(plain, F.when(stopped, end.isNull()).otherwise(F.array_contains(ends, end)))
+    out["feature: position within the budget"] = where(plain, (index >= 0) & (index < m["feature_response_max_new_tokens"]) & m["full_sequence_token_index"].isNotNull())
+    out["feature.sampling_max_new_tokens: positive"] = where(plain, m["sampling_max_new_tokens"] > 0)
+    return out
+
+
+def grid_coverage(cells: DataFrame, config: list[str], factors: list[str], expected: DataFrame) -> DataFrame:
+    """(config, n_cells, n_repeated, problem): configurations whose cells aren't exactly the expected grid.
+
+    expected holds each configuration with n_expected cells. Counted in one pass; only configurations meet.
+    """
+    once = cells.groupBy(*config, *factors).count()
+    seen = once.groupBy(*config).agg(F.count("*").alias("n_cells"), F.count_if(F.col("count") > 1).alias("n_repeated"))
+    met = seen.join(expected.select(*config, "n_expected"), config, "full")
+    found = F.when(F.col("n_cells").isNull(), "missing").when(F.col("n_expected").isNull(), "unexpected").when(F.col("n_repeated") > 0, "repeated").when(F.col("n_cells") != F.col("n_expected"), "incomplete")
+    zero = F.lit(0).cast("long")
+    return met.select(*config, F.coalesce("n_cells", zero).alias("n_cells"), F.coalesce("n_repeated", zero).alias("n_repeated"), found.alias("problem")).where("problem is not null")
+
+
+def range_checks(metrics: list[str], length: str | None = None) -> dict[str, Column]:
+    """Metrics are finite and within [0, 1], a length is finite and not negative."""
+    out = {f"{x}: within [0, 1]": finite(F.col(x)) & F.col(x).between(0, 1) for x in metrics}
+    if length:
+        out[f"{length}: finite, not negative"] = finite(F.col(length)) & (F.col(length) >= 0)
+    return out
+
+
+def count_checks(dataset: Column, n: Column, counts: dict[str, int] = RECORD_COUNTS) -> dict[str, Column]:
+    """A cell has the number of records that its dataset has."""
+    return {"n_records: as the dataset has": n == F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[dataset]}
+
+
+def interval_checks(delta: Column, measured: Column, lo: Column, hi: Column, p: Column, tolerance: float = 2e-6) -> dict[str, Column]:
+    """An exported interval: its point estimate is the measured one, its ends are in order, p is a probability."""
+    return {"delta: as measured": finite(delta) & (F.abs(delta - measured) <= tolerance), "interval: in order": finite(lo) & finite(hi) & (lo <= hi), "p: within [0, 1]": finite(p) & p.between(0, 1)}
+
+
+def split_audit(rows: DataFrame, split: str, key: str, content: list[str], left: str, right: str) -> DataFrame:
+    """(measure, value): n_left, n_right, shared_keys and shared_content; a sound split shares neither."""
+    is_l, is_r = F.col(split) == left, F.col(split) == right
+
+    def shared(by: list[str], name: str) -> DataFrame:
+        both = rows.groupBy(*by).agg(F.max(is_l).alias("_l"), F.max(is_r).alias("_r"))
+        return both.agg(F.count_if(F.col("_l") & F.col("_r")).alias("value")).select(F.lit(name).alias("measure"), "value")
+
+    sizes = rows.agg(F.count_if(is_l).alias("n_left"), F.count_if(is_r).alias("n_right")).unpivot([], ["n_left", "n_right"], "measure", "value")
+    return sizes.unionByName(shared([key], "shared_keys")).unionByName(shared(content, "shared_content"))
+
+
+def propagated_labels(graded: DataFrame, runs: DataFrame, cell: list[str], key: str, label: str) -> DataFrame:
+    """(cell, key, label, side): labels for every row of runs; side is left or right where only one of the two has the key."""
+    a = graded.select(*cell, key, label, F.lit(True).alias("_g"))
+    b = runs.select(*cell, key, F.lit(True).alias("_r"))
+    side = F.when(F.col("_r").isNull(), "left").when(F.col("_g").isNull(), "right")
+    return a.join(b, [*cell, key], "full").select(*cell, key, label, side.alias("side"))
+
+
+def finite_mean(x: Column) -> Column:
+    """Mean of the finite values; null if there are none."""
+    return F.avg(F.when(finite(x), x))
+
+
+def spread_gate(df: DataFrame, keys: list[str], value: str, digits: int, least: int = 3) -> DataFrame:
+    """Groups whose value takes fewer than least distinct values after rounding, or is one value throughout."""
+    v = F.round(value, digits)
+    return df.groupBy(*keys).agg(F.countDistinct(v).alias("n_values"), (F.min(v) == F.max(v)).alias("constant")).where((F.col("n_values") < least) | F.col("constant"))
+
+
+def median_gate(df: DataFrame, keys: list[str], text: str, least: int = 300) -> DataFrame:
+    """(keys, n, median_length) of groups whose texts are shorter than least in the median."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.length(text), F.lit(0.5)).alias("median_length")).where(F.col("median_length") < least)

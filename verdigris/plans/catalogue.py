@@ -21,6 +21,6 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> dict[str, Entry]:
-    from verdigris.plans import grids, metrics, pairs, quality, texts  # noqa: F401  they register themselves
+    from verdigris.plans import grids, metrics, pairs, quality, reports, texts  # noqa: F401  they register themselves
 
     return CATALOGUE
