@@ -117,3 +117,14 @@ def test_total_lookups_and_gates(spark):
     assert [r.d for r in n.where(F.size(quality.rules(quality.count_checks(F.col("d"), F.col("n")))) > 0).orderBy("d").collect()] == ["bio", "other"]
     empty = cells.where("false")
     assert quality.spread_gate(empty, ["m"], "v", 3).count() == 0 and {r.measure: r.value for r in quality.split_audit(empty.withColumn("p", F.lit("l")), "p", "m", ["s"], "l", "r").collect()} == {"n_left": 0, "n_right": 0, "shared_keys": 0, "shared_content": 0}
+
+
+def test_registered_bootstraps_run_the_operators_draws(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from verdigris.operators import bootstrap
+
+    seen = []
+    monkeypatch.setattr(bootstrap, "paired_draws", lambda *a, draws=bootstrap.DRAWS, **b: seen.append(draws) or spark.createDataFrame([("all", 0, 0.5)], "slice string, draw long, delta double"))
+    for name in ("bootstrap_records", "bootstrap_hier", "bootstrap_crossed"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == [2000] * 3

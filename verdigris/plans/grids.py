@@ -133,7 +133,7 @@ def bootstrap_units(s, d):
 def _paired(scheme: str):
     def run(s, d):
         r = B.scored(s, d).select(F.lit("all").alias("slice"), "dataset", "model", "seed", F.concat_ws("/", "user_id", "rec").alias("qid"), (~c("correct")).alias("incorrect"), "discrete_semantic_entropy", "surface_entropy")
-        draws = bootstrap.paired_draws(r, ["slice"], "discrete_semantic_entropy", "surface_entropy", scheme, draws=400)
+        draws = bootstrap.paired_draws(r, ["slice"], "discrete_semantic_entropy", "surface_entropy", scheme)
         return _r(bootstrap.interval(draws, ["slice"]), "lower", "upper", "p")
 
     return run
