@@ -108,6 +108,22 @@ def best_answer_correct(s, d):
     return _turns(s, d).select("conv_id", "turn", T.best_answer_correct(c("p"), F.array("r", F.lit("")), F.lit("triviaqa")).alias("correct"))
 
 
+def _whole_turns(s, d):
+    t = B.table(s, d, "conversations")
+    b = t.select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("r"))
+    return t.select("conv_id", "turn", c("text").alias("p")).join(b, ["conv_id", "turn"])
+
+
+@query()
+def token_f1_whole(s, d):
+    return _whole_turns(s, d).select("conv_id", "turn", F.round(T.token_f1(T.normalize_qa(c("p")), T.normalize_qa(c("r"))), 6).alias("f1"))
+
+
+@query()
+def best_answer_correct_whole(s, d):
+    return _whole_turns(s, d).select("conv_id", "turn", T.best_answer_correct(c("p"), F.array("r", F.lit("")), F.lit("triviaqa")).alias("correct"))
+
+
 @query(f"WITH {B.RECORDS} SELECT user_id, rec, list_contains(norm, 'click') OR list_contains(norm, 'signup') AS correct FROM records")
 def any_match_correct(s, d):
     return B.records(s, d).select("user_id", "rec", T.any_match_correct(c("norm"), F.array(F.lit("The Click!"), F.lit("signup")), F.lit("triviaqa")).alias("correct"))
