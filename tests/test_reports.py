@@ -128,3 +128,22 @@ def test_registered_bootstraps_run_the_operators_draws(spark, monkeypatch):
     for name in ("bootstrap_records", "bootstrap_hier", "bootstrap_crossed"):
         entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert seen == [2000] * 3
+
+
+def test_gap_intervals_are_those_of_the_mean(spark):
+    rows = [(x, "m", seed, method, float(u) if method == "a" else 0.0) for u in range(10) for x in [f"d{u}"] for seed in (0, 1) for method in "ab"]
+    cells = spark.createDataFrame([("all", *r) for r in rows], "slice string, dataset string, model string, seed int, method string, value double")
+    got = reports.gap_intervals(cells, ["slice"], "method", "a", "b", "value").first()
+    # The mean of ten draws from 0 to 9 has a deviation of 0.908; the units' own percentiles are 0.225 and 8.775.
+    assert (got.n_units, got.gap) == (10, 4.5)
+    assert got.lo == pytest.approx(4.5 - 1.96 * 0.908, abs=0.25) and got.hi == pytest.approx(4.5 + 1.96 * 0.908, abs=0.25)
+
+
+def test_schemes_and_generators_resample(spark):
+    import __spark_entry__ as entry
+
+    known, data = entry.queries(), "/root/testdata/sf0.001"
+    schemes = {r.scheme: r for r in known["resampling_schemes_ci"](spark, data).collect()}
+    assert set(schemes) == {"records", "units", "hier"} and len({r.mean_width for r in schemes.values()}) == 3
+    assert any(r.lower < r.upper for r in known["report_longform_by_generator_ci"](spark, data).collect())
+    assert sum(r.n_left + r.n_right + r.n_neither for r in known["report_all_slices_ci"](spark, data).collect()) > 0

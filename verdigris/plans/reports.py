@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import experiments, grid, reports
+from verdigris.operators import bootstrap, experiments, grid, reports
 from verdigris.operators import quality as Q
 from verdigris.plans import base as B
 from verdigris.plans.catalogue import query
@@ -126,6 +126,51 @@ def measurement_coverage(s, d):
     return Q.grid_coverage(B.order_grid(s, d), ["method", "dataset"], ["model", "seed"], want)
 
 
+def _intervals(s, d, keys, unit=reports.UNIT):
+    return reports.gap_intervals(B.order_grid(s, d), keys, "method", HIGH, LOW, "value", unit)
+
+
+@query()
+def report_backend_ci(s, d):
+    return _r(_intervals(s, d, ["dataset"]), "left_mean", "right_mean", "gap", "lo", "hi")
+
+
+@query()
+def ci_direction_label_ci(s, d):
+    return _r(_intervals(s, d, ["model"]).select("model", "lo", "hi", grid.direction(c("lo"), c("hi")).alias("side")), "lo", "hi")
+
+
+@query()
+def report_all_slices_ci(s, d):
+    """The slices of a dataset are its seeds; a slice's units are its models."""
+    side = _intervals(s, d, ["dataset", "seed"], ("model",)).select("dataset", grid.direction(c("lo"), c("hi")).alias("side"))
+    return side.groupBy("dataset").agg(*[F.count_if(c("side") == x).alias(f"n_{x}") for x in ("left", "right", "neither")])
+
+
+def _scored(s, d, *more):
+    return B.scored(s, d).select(*more, "dataset", "model", "seed", F.concat_ws("/", "user_id", "rec").alias("qid"), (~c("correct")).alias("incorrect"), *B.METHODS)
+
+
+@query()
+def report_longform_by_generator_ci(s, d):
+    """Per generator and backend (model and dataset of the scored records), records drawn within cells."""
+    keys = ["generator", "backend"]
+    r = _scored(s, d, c("model").alias("generator"), c("dataset").alias("backend"))
+    return _r(bootstrap.interval(bootstrap.paired_draws(r, keys, "discrete_semantic_entropy", "surface_entropy", "records"), keys), "lower", "upper", "p")
+
+
+@query()
+def resampling_schemes_ci(s, d):
+    """Per scheme: discrete semantic entropy against each other score, intervals right of zero, left of it, and their mean width."""
+    others = [m for m in B.METHODS if m != "discrete_semantic_entropy"]
+    r = _scored(s, d).unpivot(["dataset", "model", "seed", "qid", "incorrect", "discrete_semantic_entropy"], others, "slice", "other")
+    out = []
+    for scheme in ("records", "units", "hier"):
+        ci = bootstrap.interval(bootstrap.paired_draws(r, ["slice"], "discrete_semantic_entropy", "other", scheme), ["slice"])
+        out.append(ci.agg(F.lit(scheme).alias("scheme"), F.count("*").alias("n"), F.count_if(c("lower") > 0).alias("n_left"), F.count_if(c("upper") < 0).alias("n_right"), F.avg(c("upper") - c("lower")).alias("mean_width")))
+    return _r(out[0].unionByName(out[1]).unionByName(out[2]), "mean_width")
+
+
 @query(f"{W}, u AS (SELECT model, avg(value) AS v, min(value) AS a, max(value) AS b, avg(accuracy) AS p FROM grid GROUP BY ALL), x AS (SELECT model, v + CASE WHEN model = 'BUILDING' THEN 1 ELSE 0 END AS delta, v, CASE WHEN model = 'FURNITURE' THEN b ELSE a END AS lo, CASE WHEN model = 'FURNITURE' THEN a ELSE b END AS hi, CASE WHEN model = 'MACHINERY' THEN p + 1 ELSE p END AS p FROM u) SELECT model, list_filter([CASE WHEN abs(delta - v) > 2e-6 THEN 'delta: as measured' END, CASE WHEN lo > hi THEN 'interval: in order' END, CASE WHEN p NOT BETWEEN 0 AND 1 THEN 'p: within [0, 1]' END], lambda x: x IS NOT NULL) AS violations FROM x")
 def interval_consistency(s, d):
     u = B.order_grid(s, d).groupBy("model").agg(F.avg("value").alias("v"), F.min("value").alias("a"), F.max("value").alias("b"), F.avg("accuracy").alias("p"))
