@@ -147,3 +147,11 @@ def test_schemes_and_generators_resample(spark):
     assert set(schemes) == {"records", "units", "hier"} and len({r.mean_width for r in schemes.values()}) == 3
     assert any(r.lower < r.upper for r in known["report_longform_by_generator_ci"](spark, data).collect())
     assert sum(r.n_left + r.n_right + r.n_neither for r in known["report_all_slices_ci"](spark, data).collect()) > 0
+
+
+def test_registered_clustering_runs_all_replicates(spark):
+    from verdigris.plans import reports as plans
+
+    rows, keep = plans._replicates(spark, "/root/testdata/sf0.001")
+    first = rows.where("method = 'strict'").groupBy(*keep).agg(F.countDistinct("experiment", "samples", "repeat").alias("n")).select("n").distinct().collect()
+    assert [r.n for r in first] == [251]

@@ -217,7 +217,7 @@ def clustering_eligibility(s, d):
 def _replicates(s, d):
     r = B.records(s, d).withColumn("incorrect", ~c("correct"))
     keep = ["user_id", "rec", "dataset", "model", "incorrect"]
-    return experiments.replicates(r, keep, ["user_id", "rec"], {"strict": strict(), "loose": loose()}, c("norm"), orders=10, sizes=(2, 4, 6, 8), subsets=10), keep
+    return experiments.replicates(r, keep, ["user_id", "rec"], {"strict": strict(), "loose": loose()}, c("norm")), keep
 
 
 @query()
