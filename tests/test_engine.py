@@ -224,3 +224,10 @@ def test_lifecycle_and_quality(spark, tmp_path):
     assert lifecycle.seeded_positions(100, 5, 10) == random.Random(10).sample(range(100), 5)
     split = lifecycle.seeded_split(spark.range(10).selectExpr("id"), "id", {"train": 6, "eval": 3}, 7)
     assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 6, "eval": 3}
+
+
+def test_seeded_split_refuses_more_ids_than_it_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "MOST_IDS", 5)
+    assert lifecycle.seeded_split(spark.range(5), "id", {"a": 2, "b": 3}, 1).count() == 5
+    with pytest.raises(ValueError):
+        lifecycle.seeded_split(spark.range(6), "id", {"a": 2, "b": 3}, 1)

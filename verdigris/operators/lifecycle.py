@@ -102,9 +102,15 @@ def seeded_positions(n: int, k: int, seed: int) -> list[int]:
     return random.Random(seed).sample(range(n), k)
 
 
+#: Ids that seeded_split shuffles on the driver; beyond, it raises.
+MOST_IDS = 10_000_000
+
+
 def seeded_split(df: DataFrame, order: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """df with split: positions in the given order are shuffled by Python's generator and dealt to the named sizes."""
-    ids = [r[0] for r in df.select(order).distinct().orderBy(order).limit(10_000_000).toLocalIterator()]
+    ids = [r[0] for r in df.select(order).distinct().orderBy(order).limit(MOST_IDS + 1).toLocalIterator()]
+    if len(ids) > MOST_IDS:
+        raise ValueError(f"more than {MOST_IDS} ids to shuffle on the driver")
     random.Random(seed).shuffle(ids)
     rows, at = [], 0
     for name, size in sizes.items():
