@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
@@ -68,6 +69,30 @@ def test_token_counts(docs, rows, no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
 
 
+def test_token_counts_by_other_vocabularies_rules(docs, rows):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, "byte_bpe_50k.json").collect()) == want
+    with pytest.raises(ValueError, match="pre-token"):
+        token_counts.opened("piece_bpe_32k.model")
+
+
+def test_no_pre_token_is_hot(spark, monkeypatch):
+    """A pre-token of 60 characters in every document, and one too long to be remembered, cross the shuffle never or once a tally."""
+    words = token_counts.opened("word_bpe_49k.json")
+    monkeypatch.setattr(token_counts, "TALLY_ROWS", 50)
+    texts = [f"{'z' * 60} {'y' * 5000} {chr(97 + i // 20)}lone{chr(97 + i % 20)}" for i in range(200)]
+    tallies, crossed = token_counts.Tallies(words, {}), Counter()
+    for at in range(0, 200, 50):
+        for text, (total, rest) in zip(texts[at : at + 50], tallies.count(texts[at : at + 50])):
+            crossed.update(t for t, _ in rest)
+            assert total + sum(words.pieces(t) * n for t, n in rest) == len(words.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert max(crossed.values()) == 1 and "z" * 60 not in crossed and "y" * 5000 not in crossed
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_counts.token_counts(df, head=lambda *_: {})
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(words.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def brute_fingerprint(text):
     words = SPLIT.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -104,8 +129,6 @@ def test_simhash(docs, rows, no_docs):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
     assert len(set(roots)) < len(set(fps))
     assert simhash.near_duplicates(no_docs).count() == 0
-    kept = simhash.one_of_each(docs).collect()
-    assert Counter(r.doc_id for r in kept) == Counter(i for (i, _), r in zip(rows, roots) if i is None or i == least[r])
 
 
 def test_covering_links_every_pair_within_three(spark):

@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import lean, open_fs, quoted, stored
 
 SCALE = 256
-#: Rows of an index block, and queries that meet a block in one task.
-BLOCK_ROWS = 1 << 16
-QUERY_CHUNK = 64
+#: Components of an index block (rows times dimensions): a task holds one block. Rows below which a block isn't split for more tasks.
+BLOCK_CELLS = 1 << 23
+LEAST_ROWS = 1 << 12
+#: Queries that a task reads at a time.
+QUERY_CHUNK = 256
 
 ONE = np.uint64(1)
 
@@ -32,9 +34,14 @@ def unpack_bits(words: np.ndarray) -> np.ndarray:
 
 def slices_of(matrix: np.ndarray) -> tuple[int, np.ndarray]:
     """Integers (rows x dims) -> (bits m, planes dims x m x words) of matrix + 2**(m-1), which is not negative."""
-    m = max(2, int(np.abs(matrix).max(initial=1)).bit_length() + 1)
-    shifted = (matrix + (1 << (m - 1))).astype(np.uint64)
-    return m, np.stack([np.stack([pack_bits((shifted[:, d] >> np.uint64(b)) & ONE) for b in range(m)]) for d in range(matrix.shape[1])])
+    top = max((max(int(c.max()), -int(c.min())) for c in matrix.T), default=1) if len(matrix) else 1
+    m = max(2, top.bit_length() + 1)
+    planes = np.empty((matrix.shape[1], m, -(-len(matrix) // 64)), np.uint64)
+    for d in range(matrix.shape[1]):  # one dimension at a time: no copy of the whole block
+        shifted = (matrix[:, d] + (1 << (m - 1))).astype(np.uint64)
+        for b in range(m):
+            planes[d, b] = pack_bits((shifted >> np.uint64(b)) & ONE)
+    return m, planes
 
 
 def signed_digits(q: int) -> list[tuple[int, int]]:
@@ -118,9 +125,9 @@ def matrix_of(lists: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    x = F.col(embedding).cast("array<double>")
+    x = quoted(embedding).cast("array<double>")
     sound = x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return df.select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x"), sound.alias("sound")).where("sound and vec_id is not null").select("vec_id", F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
+    return df.select(quoted(vec_id).cast("long").alias("vec_id"), x.alias("x"), sound.alias("sound")).where("sound and vec_id is not null").select("vec_id", F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
 
 
 def top_inner_products(embeddings: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -131,61 +138,65 @@ def top_inner_products(embeddings: DataFrame, k: int = 5, every: int = 50, vec_i
     part; shorter vectors count as padded with zeros; a repeated query row is asked once; other repeated rows are
     candidates each. An empty table gives an empty result. Scores must fit 62 bits.
 
-    Index: rows are dealt by hash to blocks of about 65,536, sorted by id in the block, and each dimension is stored
-    as bit planes over the block's rows. Queries are dealt to chunks, and block and chunk meet by an equi-join on the
-    chunk's number, so a task holds one block and one chunk. A task returns its block's k best for each query; those
-    are ranked per query. All rows are indexed and all queries meet all blocks.
+    Index: rows are dealt by hash to blocks, sorted by id in the block, and each dimension is stored as bit planes over
+    the block's rows. A block's rows times dimensions are bounded, so a task's memory is. Queries are written too; each
+    task keeps its block where it is and reads the queries a chunk at a time from the shared folder, so neither index nor
+    queries are shuffled for the search. A task returns its block's k best for each query; those are ranked per query.
+    All rows are indexed and all queries meet all blocks.
     """
+    spark = embeddings.sparkSession
     valid = stored(valid_vectors(embeddings, vec_id, embedding), "vectors")
-    stats = valid.agg(F.count("*"), F.max(F.size("x")), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    blocks, dims, chunks = -(-stats[0] // BLOCK_ROWS) or 1, stats[1] or 1, -(-stats[2] // QUERY_CHUNK) or 1
+    stats = valid.agg(F.count("*"), F.max(F.size("x"))).first()
+    dims = stats[1] or 1
+    block_rows = max(64, BLOCK_CELLS // dims)
+    blocks = max(-(-stats[0] // block_rows), min(spark.sparkContext.defaultParallelism, -(-stats[0] // LEAST_ROWS)), 1)
 
     def build(key, table):  # noqa: ANN001, ANN202  Spark reads annotations as a choice of API
         table = table.sort_by("vec_id")
         m, planes = slices_of(matrix_of(table["x"], dims))
         return pa.table({"bits": pa.array([m], pa.int32()), "ids": pa.array([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "planes": pa.array([planes.tobytes()], pa.binary())})
 
-    index = valid.groupBy(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")).applyInArrow(build, "bits int, ids binary, planes binary")
-    asked = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
-
-    def gather(key, table):  # noqa: ANN001, ANN202  Spark reads annotations as a choice of API
-        matrix = matrix_of(table["x"], dims)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "asked": pa.array([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([matrix.tobytes()], pa.binary())})
-
-    queries = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk")).applyInArrow(gather, "chunk long, asked binary, vectors binary")
+    # So many partitions that a task has one block or few.
+    dealt = valid.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(blocks, "block")
+    index = stored(dealt.groupBy("block").applyInArrow(build, "bits int, ids binary, planes binary"), "index")
+    asked = stored(valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")), "queries").inputFiles()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                planes = np.frombuffer(row["planes"], np.uint64).reshape(dims, row["bits"], -1)
+            for at in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(1)[at].as_buffer(), "<i8")
+                m = batch.column(0)[at].as_py()
+                planes = np.frombuffer(batch.column(2)[at].as_buffer(), np.uint64).reshape(dims, m, -1)
                 inverse = ~planes
-                asked = np.frombuffer(row["asked"], "<i8")
-                vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(asked), dims)
                 everyone = pack_bits(np.ones(len(ids), bool))
-                out: list[tuple[int, int, int]] = []
-                for query_id, vector in zip(asked.tolist(), vectors, strict=True):
-                    score, offset = scores_sliced(planes, inverse, vector, row["bits"])
-                    lo, hi = np.searchsorted(ids, [query_id, query_id + 1])
-                    candidates = everyone
-                    if hi > lo:
-                        own = np.zeros(len(ids), bool)
-                        own[lo:hi] = True
-                        candidates = everyone & ~pack_bits(own)
-                    for at in top_rows(score, candidates, k).tolist():
-                        value = sum(int(plane[at >> 6] >> np.uint64(at & 63) & ONE) << b for b, plane in enumerate(score))
-                        out.append((query_id, int(ids[at]), value - offset))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    spread = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    met = spread.join(queries, "chunk").repartition("chunk", F.xxhash64("ids"))
-    found = met.select("bits", "ids", "planes", "asked", "vectors").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = F.row_number().over(_by_score("query_id"))
+                for names, vectors in query_chunks(asked, dims):
+                    out: list[tuple[int, int, int]] = []
+                    for query_id, vector in zip(names.tolist(), vectors, strict=True):
+                        score, offset = scores_sliced(planes, inverse, vector, m)
+                        lo, hi = np.searchsorted(ids, [query_id, query_id + 1])
+                        candidates = everyone
+                        if hi > lo:
+                            own = np.zeros(len(ids), bool)
+                            own[lo:hi] = True
+                            candidates = everyone & ~pack_bits(own)
+                        for row in top_rows(score, candidates, k).tolist():
+                            value = sum(int(plane[row >> 6] >> np.uint64(row & 63) & ONE) << b for b, plane in enumerate(score))
+                            out.append((query_id, int(ids[row]), value - offset))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    found = index.repartition(blocks).mapInArrow(lean(search), "query_id long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _by_score(query: str):
-    from pyspark.sql import Window
+def query_chunks(files: list[str], dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the written queries, QUERY_CHUNK at a time."""
+    import pyarrow.parquet as pq
 
-    return Window.partitionBy(query).orderBy(F.col("score").desc(), F.col("vec_id"))
+    for name in files:
+        fs, path = open_fs(name)
+        with fs.open_input_file(path) as src:
+            for part in pq.ParquetFile(src).iter_batches(QUERY_CHUNK, columns=["vec_id", "x"]):
+                if part.num_rows:
+                    yield part.column(0).to_numpy(), matrix_of(pa.chunked_array([part.column(1)]), dims)

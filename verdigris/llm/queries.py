@@ -41,10 +41,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    # Responses are decoded and held against their digests; of revisits only the headers are parsed.
-    responses = warc.read_warc(spark, path, payload=False, verify=True).where("record_type = 'response'").select(columns)
-    again = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit'").select(columns)
-    return responses.unionByName(again)
+    # One scan: the record type is pushed to the reader; responses' payloads are held against their digests, none is returned.
+    return warc.read_warc(spark, path, payload=False, verify=True).where("record_type in ('response', 'revisit')").select(columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

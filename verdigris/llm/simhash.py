@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import broadcast_if_small, lean, small_batches, stored, without_ids
+from verdigris.llm.common import broadcast_if_small, lean, quoted, small_batches, stored
 from verdigris.llm.components import connected_components
 
 WORDS = 3
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
+    return docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def syndrome(block: Column) -> Column:
@@ -184,12 +184,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return known.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their component's: one of each group.
-
-    Rows that repeat an id are one document and stay together; rows without an id stay.
-    """
-    groups = near_duplicates(docs, doc_id, text)
-    return without_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), doc_id)

@@ -18,15 +18,14 @@ FROM numbered LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
 """
 
 LEAKS = r"""
-WITH words AS (
-  SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
-  UNION ALL
-  SELECT 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark),
-shingles AS (
-  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
-sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 'i' GROUP BY id)
+WITH doc_words AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+item_words AS (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+lengths AS (SELECT id, CAST(min(least(5, len(w))) AS BIGINT) AS k FROM item_words WHERE len(w) > 0 GROUP BY id),
+items AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM item_words JOIN lengths USING (id) WHERE len(w) > 0),
+docs AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM doc_words, (SELECT DISTINCT k FROM lengths) WHERE len(w) >= k),
+sizes AS (SELECT id, count(*) AS n FROM items GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, max(n) AS n_shingles, count(*) AS n_shared, round(count(*) / max(n), 6) AS containment
-FROM shingles d JOIN shingles i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' JOIN sizes ON sizes.id = i.id
+FROM docs d JOIN items i ON d.s = i.s AND d.k = i.k JOIN sizes ON sizes.id = i.id
 GROUP BY d.id, i.id HAVING count(*) >= ceil(0.8 * max(n) - 1e-9)
 """
 

@@ -17,14 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from verdigris.llm.common import free_name, stored
+from verdigris.llm.common import free_name, open_fs, quoted, stored
 
-COLUMNS = "record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload string"
+COLUMNS = "record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 #: Bytes of an archive from which a reader's split is closed.
 SPLIT_BYTES = 16 << 20
 #: Bytes of an archive from which the writer starts another.
 FILE_BYTES = 256 << 20
-MANIFEST = "_manifest.json"
+#: One file per commit; together they list what readers see.
+MANIFEST = "_manifest-"
+#: Says that the target URI is escaped as in a JSON string, so that any text survives a header line.
+ESCAPED = "x-target-uri-escaping"
 BATCH_ROWS = 4096
 BATCH_BYTES = 16 << 20
 #: Where a field of a row stands in a record's header.
@@ -32,12 +35,6 @@ HEADER_OF = {"record_type": "warc-type", "page_id": "x-page-id", "url": "warc-ta
 NUMBERS = ("page_id", "payload_bytes", "refers_to")
 
 
-def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if path.startswith("file:"):
-        return pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pyarrow.fs.FileSystem.from_uri(path)
-
-
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -54,13 +51,13 @@ def member(head: bytes, body: bytes) -> bytes:
 
 def record(row: dict) -> bytes:
     """A response record with its payload, or a revisit record without; both carry length and digest of the full payload."""
-    body = (row["payload"] or "").encode() if row["record_type"] == "response" else b""
+    body = (row["payload"] or b"") if row["record_type"] == "response" else b""
     lines = [
         "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"Content-Length: {len(body)}", "Content-Type: text/html", f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}",
     ]
     if row["url"] is not None:
-        lines.append("WARC-Target-URI: " + json.dumps(row["url"])[1:-1])
+        lines += ["WARC-Target-URI: " + json.dumps(row["url"])[1:-1].replace(" ", "\\u0020"), "X-Target-URI-Escaping: json"]
     if row["page_id"] is not None:
         lines.append(f"X-Page-Id: {row['page_id']}")
     if row["record_type"] == "revisit":
@@ -108,10 +105,13 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list) -> None:
+        """Adds a manifest of this write's archives to those of earlier ones; it appears whole or not at all."""
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        name = f"{root}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(name + ".part", compression=None) as out:
             out.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        fs.move(name + ".part", name)
 
     def abort(self, messages: list) -> None:
         fs, root = open_fs(self.path)
@@ -134,25 +134,32 @@ class WarcReader(DataSourceReader):
         self.path, self.payload, self.verify, self.wanted = path, payload, verify, []
 
     def pushFilters(self, filters: list) -> Iterator:
+        """Equality, IN and IS NOT NULL on header fields are taken from Spark, which evaluates the others."""
         for f in filters:
             name = f.attribute[0] if len(f.attribute) == 1 else ""
-            if name in HEADER_OF and isinstance(f, (EqualTo, In, IsNotNull)):
-                self.wanted.append((name, None if isinstance(f, IsNotNull) else [str(f.value)] if isinstance(f, EqualTo) else [str(x) for x in f.value]))
+            values = [f.value] if isinstance(f, EqualTo) else list(f.value) if isinstance(f, In) else None
+            if name in HEADER_OF and (isinstance(f, IsNotNull) or (values is not None and None not in values)):
+                self.wanted.append((name, values))
             else:
                 yield f
 
     def partitions(self) -> list[Split]:
         fs, root = open_fs(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type != pyarrow.fs.FileType.NotFound:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as src:
-                files = json.loads(src.read())
-        else:
-            found = fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True, allow_not_found=True))
-            files = [{"name": i.path[len(root) :].lstrip("/"), "splits": [0], "size": i.size} for i in found if i.is_file and i.path.endswith((".warc.gz", ".warc"))]
+        found = [i for i in fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True, allow_not_found=True)) if i.is_file]
+        names = {i.path: i.path[i.path.index(root.lstrip("/")) + len(root.lstrip("/")) :].lstrip("/") for i in found}
+        files: list[dict] = []
+        listed = sorted(i.path for i in found if names[i.path].startswith(MANIFEST) and i.path.endswith(".json"))
+        for path in listed:
+            with fs.open_input_stream(path) as src:
+                files += json.loads(src.read())
+        if not listed:
+            files = [{"name": names[i.path], "splits": [0], "size": i.size} for i in found if i.path.endswith((".warc.gz", ".warc"))]
         return [Split(f["name"], a, b) for f in files for a, b in zip(f["splits"], [*f["splits"][1:], f["size"]], strict=True)]
 
     def fits(self, head: dict) -> bool:
-        return all(head.get(HEADER_OF[name]) is not None and (values is None or head[HEADER_OF[name]].removeprefix("sha1:") in values) for name, values in self.wanted)
+        """Decoded values are compared, as Spark would compare the rows."""
+        told = ((values, field_of(head, name)) for name, values in self.wanted)
+        return all(value is not None and (values is None or value in values) for values, value in told)
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         if split is None:
@@ -163,12 +170,12 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(f"{root}/{split.name}") as src:
             for head, body in records(src, split.start, split.end, self.fits, self.payload or self.verify):
                 payload = None
-                if body is not None and head["warc-type"] == "response":
-                    if self.verify and digest_of(body) != head["warc-payload-digest"].removeprefix("sha1:"):
+                if body is not None and head.get("warc-type") != "revisit":
+                    kind, _, digest = head.get("warc-payload-digest", "").rpartition(":")
+                    if self.verify and digest and kind in ("", "sha1") and digest_of(body) != digest:
                         raise ValueError(f"{split.name}: a payload doesn't match its digest")
-                    payload = body.decode() if self.payload else None
-                row = {name: (x := head.get(key)) and (int(x) if name in NUMBERS else json.loads(f'"{x}"') if name == "url" else x.removeprefix("sha1:")) for name, key in HEADER_OF.items()}
-                rows.append(row | {"payload": payload})
+                    payload = body if self.payload else None
+                rows.append({name: field_of(head, name) for name in HEADER_OF} | {"payload": payload})
                 held += len(payload or "")
                 if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, SCHEMA)
@@ -177,7 +184,19 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
 
-SCHEMA = pa.schema([(n, pa.int64() if n in NUMBERS else pa.string()) for n in (*HEADER_OF, "payload")])
+def field_of(head: dict[str, str], name: str) -> object:
+    """A row's field from a record's headers; null where a header is missing or, in foreign archives, no number."""
+    value = head.get(HEADER_OF[name])
+    if value is None:
+        return None
+    if name in NUMBERS:
+        return int(value) if value.lstrip("-").isdecimal() else None
+    if name == "url" and ESCAPED in head:
+        return json.loads(f'"{value}"')
+    return value.removeprefix("sha1:") if name == "payload_digest" else value
+
+
+SCHEMA = pa.schema([*((n, pa.int64() if n in NUMBERS else pa.string()) for n in HEADER_OF), ("payload", pa.binary())])
 
 
 def headers(raw: bytes) -> dict[str, str]:
@@ -290,8 +309,8 @@ def revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     size: where they're few it broadcasts them and the pages aren't shuffled; else it splits hot digests.
     """
     (first, seen) = free_name(pages, "_first", "_seen")
-    payload = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("_hex"), payload.alias("payload"))
+    payload = F.coalesce(quoted(html), F.lit(""))
+    rows = pages.select(quoted(page_id).cast("long").alias("page_id"), quoted(url).alias("url"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("_hex"), payload.cast("binary").alias("payload"))
     groups = stored(rows.where(F.col("payload_bytes") >= least_bytes).groupBy("_hex", "payload_bytes").agg(F.min("page_id").alias(first), F.count("*").alias(seen)).where(F.col(seen) > 1), "digests")
     met = rows.join(groups, ["_hex", "payload_bytes"], "left")
     again = F.col(first).isNotNull() & ~F.col("page_id").eqNullSafe(F.col(first))
@@ -308,6 +327,13 @@ def write_warc(pages: DataFrame, path: str, **columns: object) -> None:
 
 
 def read_warc(spark, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
-    """Records under path. Filters on record_type and other header fields reach the reader; payload=False decodes none."""
+    """Records under path. Filters on record_type and other header fields reach the reader; payload=False decodes none.
+
+    Archives of several writes add up. Foreign archives (no manifest) are read too: page_id, payload_bytes and refers_to
+    are then null. Payloads are bytes, whatever their encoding; verify holds those that have a SHA-1 digest against it.
+
+    Every record has a type, so the filter here keeps all; but a query without any filter would make Spark take the
+    filters that an earlier query of the same DataFrame has pushed.
+    """
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload)).option("verify", str(verify)).load(path)
+    return spark.read.format("warc").option("payload", str(payload)).option("verify", str(verify)).load(path).where("record_type is not null")
