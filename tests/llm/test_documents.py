@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -173,3 +174,47 @@ def test_substrings(docs, rows, no_docs):
         assert {"n_words", "lang", "_row", "kmer", "c0"} <= set(got.columns)
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_substrings(rows, window)
     assert substrings.remove_repeated(no_docs).count() == 0
+
+
+def test_hot_k_mers_and_long_runs(spark, monkeypatch):
+    """A 12-gram in every document with differing contexts, a run far longer than a window in several, and equal rows."""
+    monkeypatch.setattr(substrings, "HOT_SHARE", 1 / 16)
+    rng = random.Random(8)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    common = [word() for _ in range(12)]
+    long = [word() for _ in range(700)]
+    rows = [(i, " ".join([*(word() for _ in range(30)), *common, *(word() for _ in range(30))])) for i in range(150)]
+    rows += [(200 + i, " ".join([word(), *long[: 700 - 90 * i], word()])) for i in range(4)] + [(300, " ".join(long[100:300] + long[90:140])), (None, " ".join(long)), (None, " ".join(long)), (None, None), (None, None)]
+    rows += [(400 + i, " ".join([*(word() for _ in range(12 + i)), *common, *long[5:40]])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_substrings(rows, 35)
+    seen = []
+    plain = substrings.hot_kmers
+    monkeypatch.setattr(substrings, "hot_kmers", lambda *a: seen.append(plain(*a)) or seen[-1])
+    for least in (8, 10**6):
+        if least > 8:
+            monkeypatch.setattr(substrings, "HOT_KMERS", 0)
+        got = substrings.remove_repeated(df).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    assert len(seen[0]) >= 1 and len(seen[1]) == 0
+    docs = substrings.numbered(df, "_row").selectExpr("_row.f __f", "_row.r __r", "text __text")
+    paths = substrings.branches(substrings.graph_edges(docs, 35, 12, seen[0]))
+    edges, runs = paths.where("repeated").count(), substrings.compacted(substrings.stored(paths, "paths")).count()
+    assert runs < edges / 4
+
+
+def test_runs_that_loop_and_branch(spark):
+    """Contraction of a chain, of a chain whose end is shared with another, and of one that comes back to itself."""
+    docs = ["abcdefgh", "abcdefgh", "xcdy", "pqpqpq", "pqpq", "z"]
+    steps = [(d, i, c, docs[d][i + 1] if i + 1 < len(docs[d]) else None) for d in range(len(docs)) for i, c in enumerate(docs[d])]
+    got = {r.node: (r["head"], r.dist) for r in substrings.heads(spark.createDataFrame(steps, "d int, i int, node string, next string")).collect()}
+    assert got == {"b": ("a", 1), "d": ("c", 1), "f": ("e", 1), "g": ("e", 2), "h": ("e", 3)} | {"q": ("p", 1)}
+
+
+def test_cut_texts_keep_their_lines(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, f"one  two\n{passage}\nthree\tfour\n", 7, "a"), (2, f"{passage} end", 8, None), (3, "as it\n is  ", 9, ""), (4, None, 1, "x"), (5, passage, 2, "y"), (6, f"x {passage} y", 2, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, `original.x` string")
+    got = substrings.cut_repeated(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == {1: ("one  two\nthree\tfour", 7, "a"), 2: ("end", 8, None), 3: ("as it\n is  ", 9, ""), 4: (None, 1, "x"), 5: ("", 2, "y"), 6: ("x y", 2, "z")}
