@@ -120,7 +120,7 @@ def test_kernel_language_entropy():
     assert kernels.von_neumann_entropy(kernels.kernel_of(same, "rbf")) == pytest.approx(0, abs=1e-6)
     far = np.eye(4) * 1e3
     assert kernels.von_neumann_entropy(np.eye(4)) == pytest.approx(math.log(4))
-    assert kernels.kernel_of(far, "rbf")[0, 1] == pytest.approx(math.exp(-1))
+    assert kernels.kernel_of(far, "rbf")[0, 1] == pytest.approx(math.exp(-1 / 2))
 
 
 def test_bootstrap_intervals(spark):
@@ -153,10 +153,12 @@ def test_probe(spark, tmp_path):
 def test_readers(spark, tmp_path):
     q = tmp_path / "q.jsonl"
     q.write_text("\n".join(json.dumps(x) for x in [{"QuestionId": "1", "Question": "Capital?", "Answer": {"Value": "Paris", "Aliases": ["", "paree"]}}, {"QuestionId": "2", "Question": "x", "Answer": {"Value": "y"}}]) + "\n")
-    assert [r.reference_answers for r in readers.read_questions(spark, str(q), "eval").orderBy("prompt_id").collect()] == [["Paris", "paree"], ["y"]]
-    assert [r.reference_answers for r in readers.read_questions(spark, str(q), "eval", legacy=True).orderBy("prompt_id").collect()] == [["paree"], ["y"]]
+    assert [r.reference_answers for r in readers.read_questions(spark, str(q), "eval").orderBy("prompt_id").collect()] == [["paree"], ["y"]]
+    assert [r.reference_answers for r in readers.read_questions(spark, str(q), "eval", both=True).orderBy("prompt_id").collect()] == [["Paris", "paree"], ["y"]]
+    assert [r.prompt_id for r in readers.union_sources(readers.read_questions(spark, str(q), "eval").where("prompt_id = '2'"), readers.read_questions(spark, str(q), "eval"), limit=2).collect()] == ["2", "1"]
     with gzip.open(tmp_path / "s.jsonl.gz", "wt") as out:
         out.write(json.dumps({"ID": "a", "Body": "B.", "Question": "Q?", "Answer": 7.0}) + "\n" + json.dumps({"ID": "b", "Body": "B.", "Question": "Q?", "Answer": 2.5}) + "\n")
+    assert readers.read_stub(spark, "all", {"triviaqa": str(q), "svamp": str(tmp_path / "s.jsonl.gz")}).count() == 4
     got = readers.read_arithmetic(spark, str(tmp_path / "s.jsonl.gz"), "eval").orderBy("prompt_id").collect()
     assert [(r.prompt, r.reference_answers) for r in got] == [("B. Q?", ["7"]), ("B. Q?", ["2.5"])]
     blank = tmp_path / "blank.jsonl"
@@ -167,6 +169,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text("{nope\n")
     with pytest.raises(Exception, match="not a valid object"):
         readers.read_records(spark, str(tmp_path / "bad.jsonl")).collect()
+    with pytest.raises(Exception, match="not a valid object"):
+        readers.read_records(spark, str(tmp_path / "bad.jsonl"), strict=False).collect()
+    (tmp_path / "lines.jsonl").write_text('{"id": "a"}\n\n[1]\n{"id": 3}\n{nope\n{"id": true}\n{"x": 1}\n')
+    assert [n for n, _ in readers.bad_lines(spark, str(tmp_path / "lines.jsonl"), {"id": str}, limit=9)] == [2, 3, 4, 5, 6, 7]
+    assert [n for n, _ in readers.bad_lines(spark, str(tmp_path / "lines.jsonl"), {"id": str}, blanks=False)][0] == 3
     cell = tmp_path / "cells" / "repl-chat-eval-triviaqa-Some-Model-7B-s42-123"
     cell.mkdir(parents=True)
     (cell / "r.jsonl").write_text('{"prompt_id": "1"}\n')

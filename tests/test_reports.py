@@ -125,9 +125,9 @@ def test_registered_bootstraps_run_the_operators_draws(spark, monkeypatch):
 
     seen = []
     monkeypatch.setattr(bootstrap, "paired_draws", lambda *a, draws=bootstrap.DRAWS, **b: seen.append(draws) or spark.createDataFrame([("all", 0, 0.5)], "slice string, draw long, delta double"))
-    for name in ("bootstrap_records", "bootstrap_hier", "bootstrap_crossed"):
+    for name in ("bootstrap_records", "bootstrap_hier", "bootstrap_linked", "bootstrap_crossed"):
         entry.queries()[name](spark, "/root/testdata/sf0.001")
-    assert seen == [2000] * 3
+    assert seen == [2000] * 4
 
 
 def test_gap_intervals_are_those_of_the_mean(spark):
@@ -143,10 +143,10 @@ def test_schemes_and_generators_resample(spark):
     import __spark_entry__ as entry
 
     known, data = entry.queries(), "/root/testdata/sf0.001"
-    schemes = {r.scheme: r for r in known["resampling_schemes_ci"](spark, data).collect()}
+    schemes = {r.scheme: r for r in known["resampling_schemes"](spark, data).collect()}
     assert set(schemes) == {"records", "units", "hier"} and len({r.mean_width for r in schemes.values()}) == 3
-    assert any(r.lower < r.upper for r in known["report_longform_by_generator_ci"](spark, data).collect())
-    assert sum(r.n_left + r.n_right + r.n_neither for r in known["report_all_slices_ci"](spark, data).collect()) > 0
+    assert any(r.lower < r.upper for r in known["report_longform_by_generator"](spark, data).collect())
+    assert sum(r.n_left + r.n_right + r.n_neither for r in known["report_all_slices"](spark, data).collect()) > 0
 
 
 def test_registered_clustering_runs_all_replicates(spark):

@@ -72,10 +72,14 @@ def nondefeating(codes: Column) -> Column:
     return let(codes, lambda c: F.transform(c, lambda row, i: F.transform(row, lambda x, j: cell(c, i, j, x))))
 
 
-def components(related: Column, rounds: int = 4) -> Column:
-    """Connected components of a symmetric reflexive relation by repeated squaring (2**rounds nodes at most), renumbered."""
+def components(related: Column) -> Column:
+    """Connected components of a symmetric reflexive relation, renumbered: squared as often as its size has binary digits."""
+    return let(related, _components)
+
+
+def _components(related: Column) -> Column:
     squared = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(related).cast("double"))).cast("int"))),
         related,
         lambda r, _: F.transform(r, lambda row: F.transform(row, lambda x, j: F.exists(F.arrays_zip(row.alias("a"), F.transform(r, lambda other: F.get(other, j)).alias("b")), lambda p: p["a"] & p["b"]))),
     )

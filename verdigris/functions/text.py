@@ -241,7 +241,9 @@ def grading_prompt(question: Column, references: Column, proposed: Column) -> Co
 
 
 def question_answer_input(question: Column, answer: Column, style: str = "labelled") -> Column:
-    q = strip(question)
+    """What the entailment model reads; a blank question is an error."""
+    asked = strip(question)
+    q = F.when(F.coalesce(asked, F.lit("")) == "", F.raise_error(F.lit("a question is blank")).cast("string")).otherwise(asked)
     return F.concat(q, F.lit(" "), answer) if style == "paper" else F.concat(F.lit("Question: "), q, F.lit("\nAnswer: "), answer)
 
 
@@ -250,6 +252,11 @@ def content_key(*parts: Column) -> Column:
     return F.md5(F.concat(*[x for p in parts for x in (p, F.lit("\0"))]).cast("binary"))
 
 
+def answer_of(c: Column) -> Column:
+    """An answer that is a JSON string, or an object's response."""
+    return F.coalesce(F.get_json_object(c, "$.response"), F.from_json(F.concat(F.lit('{"x":'), c, F.lit("}")), "x string")["x"])
+
+
 def question_id(dataset: Column, question: Column) -> Column:
     return F.sha2(F.concat_ws("\0", dataset, question), 256)
 

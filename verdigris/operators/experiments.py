@@ -19,12 +19,13 @@ def replicates(records: DataFrame, keep: list[str], key: list[str], related: dic
     """(keep, experiment, samples, repeat, method, score, changed): entropies of every record under every replicate.
 
     order: all n answers in a permuted order, per relation. samples: a subset of the answers in their own order, per
-    relation and for the surface entropy; all n answers once. changed: the partition of the answers taken differs from
+    relation and for the surface entropy; all n answers once. It is defined for records of n answers; others take no part. changed: the partition of the answers taken differs from
     the one in their own order (so null for subsets). A record gives orders + len(sizes) * subsets + 1 replicates.
     """
     plan = [("order", n, r) for r in range(orders)] + [("samples", m, r) for m in sizes for r in range(subsets)] + [("samples", n, 0)]
     rows = F.explode(F.array(*[F.struct(F.lit(e).alias("experiment"), F.lit(m).alias("samples"), F.lit(r).alias("repeat")) for e, m, r in plan]))
     base = records.select(*keep, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], surface.alias("_surface"), *[r.alias(f"_r_{v}") for v, r in related.items()])
+    base = base.where(F.size("_surface") == n)
     # The partition in the answers' own order is found once per record, before the replicates multiply it.
     base = base.withColumns({f"_b_{v}": A.first_ids(A.anchor_scan(F.col(f"_r_{v}"))) for v in related}).withColumn("_t", rows).select("*", "_t.*").drop("_t")
     order = shuffled(n, F.lit(seed), F.col("experiment"), F.col("samples"), F.col("repeat"), *[F.col(f"_k{i}") for i in range(len(key))])

@@ -72,6 +72,14 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def best_overlap(trees: DataFrame, cells: DataFrame, root: str, cell: str, by: str) -> DataFrame:
+    """(by, root, overlap): for each of by the tree that shares the most cells with it; ties to the smaller root."""
+    met = trees.select(root, cell).distinct().join(cells.select(by, cell).distinct(), cell)
+    found = met.groupBy(by, root).agg(F.count("*").alias("overlap"))
+    best = F.row_number().over(Window.partitionBy(by).orderBy(F.col("overlap").desc(), root))
+    return found.withColumn("_k", best).where("_k = 1").select(by, root, "overlap")
+
+
 def hash_top(df: DataFrame, by: str, key: str, salt: str, k: int) -> DataFrame:
     """The k rows per group of least sha256(salt + key): a selection that no row order changes."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256), key))

@@ -18,14 +18,14 @@ def von_neumann_entropy(kernel: np.ndarray) -> float:
 
 
 def kernel_of(vectors: np.ndarray, kind: str) -> np.ndarray:
-    """rbf with the median positive squared distance as scale (1 if there's none), or cosine shifted to [0, 1]."""
+    """rbf, exp(-d2 / (2 * scale)) with the median positive squared distance as scale (1 if there's none), or cosine shifted to [0, 1]."""
     if kind == "rbf":
         gram = vectors @ vectors.T
         norm = np.diag(gram)
         d2 = np.maximum(norm[:, None] + norm[None, :] - 2 * gram, 0)
         upper = d2[np.triu_indices(len(vectors), 1)]
         scale = np.median(upper[upper > 0]) if (upper > 0).any() else 1.0
-        return np.exp(-d2 / scale)
+        return np.exp(-d2 / (2 * scale))
     if kind == "cosine":
         length = np.linalg.norm(vectors, axis=1, keepdims=True)
         unit = vectors / np.where(length == 0, 1, length)
@@ -45,14 +45,12 @@ def kle(kind: str = "rbf"):
 
 def weighted_auroc(scores: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """AUROC of each row of weights (draws x records), ties a half; NaN where a class has no weight."""
-    _, place = np.unique(scores, return_inverse=True)
-    k = place.max() + 1
-    p = np.zeros((len(weights), k))
-    n = np.zeros((len(weights), k))
-    for j in range(k):
-        at = place == j
-        p[:, j] = weights[:, at & positive].sum(axis=1)
-        n[:, j] = weights[:, at & ~positive].sum(axis=1)
+    order = np.argsort(scores, kind="stable")
+    ranked = scores[order]
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    held = weights[:, order]
+    p = np.add.reduceat(held * positive[order], starts, axis=1).astype(float)
+    n = np.add.reduceat(held, starts, axis=1) - p
     below = np.cumsum(n, axis=1) - n / 2
     with np.errstate(invalid="ignore", divide="ignore"):
         return (p * below).sum(axis=1) / (p.sum(axis=1) * n.sum(axis=1))

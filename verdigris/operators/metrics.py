@@ -88,3 +88,55 @@ def metric_summary(long: DataFrame, keys: list[str], correct: str = "correct", s
 
 def truncation_rate(truncated: Column, total: Column) -> Column:
     return F.try_divide(F.sum(truncated), F.sum(total))
+
+
+def score_pairs(records: DataFrame, keys: list[str], field: str, excluded: Column | None = None) -> DataFrame:
+    """keys, correct, score of the records that carry a score; without one only those that declare an exclusion are left out.
+
+    Any other missing score, and one that isn't finite, is an error, so none is ever dropped unseen.
+    """
+    score = F.try_element_at("scores", F.lit(field)).cast("double")
+    known = ~F.coalesce(excluded, F.lit(False)) if excluded is not None else F.lit(True)
+    missing = F.raise_error(F.concat(F.lit("record "), F.coalesce(F.col(keys[-1]).cast("string"), F.lit("<unknown>")), F.lit(f" is missing scores.{field}"))).cast("double")
+    odd = F.raise_error(F.lit(f"scores.{field} must be finite")).cast("double")
+    told = records.withColumns({"_score": score, "_known": known}).where(F.col("_known") | F.col("_score").isNotNull())
+    value = F.when(F.col("_score").isNull(), missing).when(F.isnan("_score") | (F.abs("_score") == float("inf")), odd).otherwise(F.col("_score"))
+    return told.select(*keys, F.col("correctness_label").alias("correct"), value.alias("score"))
+
+
+def score_coverage(records: DataFrame, keys: list[str], fields: list[str], excluded: Column) -> DataFrame:
+    """keys, score_field, scored, degenerate_greedy_excluded."""
+    long = records.select(*keys, excluded.alias("_x"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.try_element_at("scores", F.lit(f)).isNotNull().alias("has")) for f in fields])).alias("_t"))
+    return long.groupBy(*keys, F.col("_t.f").alias("score_field")).agg(F.count_if("_t.has").alias("scored"), F.count_if(~F.col("_t.has") & F.coalesce("_x", F.lit(False))).alias("degenerate_greedy_excluded"))
+
+
+def cell_measurements(long: DataFrame, keys: list[str], order: list[str], correct: str = "correct", score: str = "score", chars: str = "chars") -> DataFrame:
+    """keys, n_records, mean_answer_chars, accuracy, auroc, aurac_paper, aurac_mean_retained: one row a cell and method."""
+    base = long.groupBy(*keys).agg(F.count("*").alias("n_records"), F.avg(chars).alias("mean_answer_chars"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
+    return base.join(auroc(long.withColumn("_bad", ~F.col(correct)), keys, "_bad", score), keys).join(aurac_prefix(long, keys, correct, score, order), keys)
+
+
+def length_diagnostics(rows: DataFrame, keys: list[str], incorrect: str, graded: str, sampled: str, cap: str, scores: list[str]) -> DataFrame:
+    """keys, records, means and median of lengths, records with cap counts, and the AUROC of lengths and scores in each stratum.
+
+    Strata: all; shorter (graded length at or below the cell's median) and longer; no_cap (no sample met the token limit)
+    and any_cap, among records that know. (stratum, measure, auroc) come as a map per cell, so that cells stay one row.
+    """
+    mid = rows.groupBy(*keys).agg(F.percentile(graded, F.lit(0.5)).alias("_mid"))
+    told = rows.join(mid, keys)
+    strata = F.filter(F.array(F.lit("all"), F.when(F.col(graded) <= F.col("_mid"), "shorter").otherwise("longer"), F.when(F.col(cap) == 0, "no_cap").when(F.col(cap) > 0, "any_cap")), lambda x: x.isNotNull())
+    measures = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in (graded, sampled, *scores)])
+    long = told.select(*keys, F.col(incorrect).alias("_bad"), F.explode(strata).alias("stratum"), measures.alias("_m")).select(*keys, "_bad", "stratum", F.explode("_m").alias("_m")).select(*keys, "_bad", "stratum", "_m.*")
+    found = auroc(long, [*keys, "stratum", "measure"], "_bad", "value")
+    by_cell = found.where("auroc is not null").groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "stratum", "measure").alias("k"), F.col("auroc").alias("v"))))).alias("aurocs"))
+    base = told.groupBy(*keys).agg(
+        F.count("*").alias("records"), F.avg(graded).alias("graded_mean"), F.avg(sampled).alias("sampled_mean"), F.first("_mid").alias("graded_median"),
+        F.count(cap).alias("cap_records"), F.avg(F.when(F.col(cap).isNotNull(), (F.col(cap) > 0).cast("double"))).alias("any_cap_share"),
+    )
+    return base.join(by_cell, keys, "left")
+
+
+def flips(rows: DataFrame, keys: list[str], before: str, after: str) -> DataFrame:
+    """keys, n, agreement, to_true, to_false: how a second grader's labels differ from the first's."""
+    a, b = F.col(before), F.col(after)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((a == b).cast("double")).alias("agreement"), F.count_if(~a & b).alias("to_true"), F.count_if(a & ~b).alias("to_false"))

@@ -13,6 +13,11 @@ STRINGS = ("run_id", "prompt_id", "dataset", "split", "prompt", "model", "entail
 REQUIRED_SCORES = ("surface_entropy", "discrete_semantic_entropy")
 
 
+# The two sources of correctness labels, each with its scope.
+AUTOMATED = ("automated_llm_reference_judge", "exploratory_proxy")
+HUMAN = ("published_factualbio_human", "primary_human_annotation")
+
+
 class DataQualityError(ValueError):
     """Rows break a rule that must hold for all."""
 
@@ -86,12 +91,36 @@ def degenerate_groups(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(label).alias("n_labels")).where("n_labels < 2")
 
 
-def automated_provenance(judge: str, revision: str, policy: str) -> Column:
-    return F.struct(F.lit("automated").alias("kind"), F.lit(judge).alias("judge"), F.lit(revision).alias("revision"), F.lit(policy).alias("policy"))
+PROVENANCE = "struct<source: string, scope: string, judge_model: string, target: string, representative_policy: string>"
+
+
+def automated_provenance(judge: str, target: str, policy: Column) -> Column:
+    """The provenance of a label that a judge gave here."""
+    if not judge.strip() or not target.strip():
+        raise ValueError("a judge and a target must be named")
+    values = {"source": F.lit(AUTOMATED[0]), "scope": F.lit(AUTOMATED[1]), "judge_model": F.lit(judge.strip()), "target": F.lit(target.strip()), "representative_policy": policy}
+    return F.struct(*[v.alias(k) for k, v in values.items()]).cast(PROVENANCE)
+
+
+def provenance_checks(p: Column) -> dict[str, Column]:
+    """A label's source is known and has its own scope; its target is named, and the judge of an automated one."""
+    known = {AUTOMATED[0]: AUTOMATED[1], HUMAN[0]: HUMAN[1]}
+    scope = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    judged = (p["source"] != AUTOMATED[0]) | (F.trim(F.coalesce(p["judge_model"], F.lit(""))) != "")
+    return {"source: supported": p["source"].isin(*known), "scope: the source's": F.try_element_at(scope, p["source"]) == p["scope"], "target: not empty": F.trim(p["target"]) != "", "judge_model: named": judged}
 
 
 def provenance_ok(p: Column) -> Column:
-    return p["kind"].isin("automated", "published_human") & (F.trim(p["judge"]) != "") & p["revision"].rlike("^[0-9a-f]{40}$")
+    out = F.lit(True)
+    for ok in provenance_checks(p).values():
+        out = out & F.coalesce(ok, F.lit(False))
+    return out
+
+
+def single_model(df: DataFrame, keys: list[str], model: str, judge: str | None = None) -> DataFrame:
+    """(keys, n_models) of groups that don't have exactly one model, or another than their judge (a column)."""
+    wrong = F.max(F.col(model) != F.col(judge)) if judge else F.lit(False)
+    return df.groupBy(*keys).agg(F.countDistinct(model).alias("n_models"), wrong.alias("_wrong")).where((F.col("n_models") != 1) | F.coalesce("_wrong", F.lit(True))).drop("_wrong")
 
 
 def off_by(computed: DataFrame, published: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

@@ -17,14 +17,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Ten consecutive events of a user are one record's samples: (user_id, rec, i, k, lp, raw, norm)."""
+    """Ten consecutive events of a user are one record's samples, a user's last ones perhaps fewer: (user_id, rec, i, k, lp, raw, norm)."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value", F.regexp_extract("props", r'"k": *(\d+)', 1).cast("int").alias("k"))
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    n = F.count("*").over(Window.partitionBy("user_id")).alias("n")
     t, m = F.col("event_type"), F.col("event_id") % 4
     raw = F.when(m == 0, t).when(m == 1, F.concat(F.lit("The "), F.upper(t))).when(m == 2, F.concat(t, F.lit("."))).otherwise(F.concat(F.lit("  a  "), t, F.lit(" ")))
-    s = e.select("user_id", rn.alias("rn"), n, "k", (-F.col("value") / 100).alias("lp"), raw.alias("raw"))
-    s = s.select("user_id", F.floor(F.col("rn") / M).cast("long").alias("rec"), (F.col("rn") % M).alias("i"), "k", "lp", "raw", "n").where(F.col("rec") < F.floor(F.col("n") / M))
+    s = e.select("user_id", rn.alias("rn"), "k", (-F.col("value") / 100).alias("lp"), raw.alias("raw"))
+    s = s.select("user_id", F.floor(F.col("rn") / M).cast("long").alias("rec"), (F.col("rn") % M).alias("i"), "k", "lp", "raw")
     return s.select("user_id", "rec", "i", "k", "lp", "raw", T.normalize_qa(F.col("raw")).alias("norm"))
 
 
@@ -34,7 +33,7 @@ def keyed(df: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    """(user_id, rec, dataset, model, seed, raw, norm, lp, k: arrays of ten, correct)."""
+    """(user_id, rec, dataset, model, seed, raw, norm, lp, k: arrays of ten or fewer, correct)."""
     s = samples(spark, d).groupBy("user_id", "rec").agg(F.array_sort(F.collect_list(F.struct("i", "raw", "norm", "lp", "k"))).alias("s"))
     r = keyed(s).select("user_id", "rec", "dataset", "model", "seed", *[F.col(f"s.{n}").alias(n) for n in ("raw", "norm", "lp", "k")])
     return r.withColumn("correct", F.get("k", 0) % 2 == 0)
@@ -85,7 +84,7 @@ samples AS (
   SELECT *, {sql_norm('raw')} AS norm FROM (
     SELECT user_id, rn // 10 AS rec, CAST(rn % 10 AS INTEGER) AS i, k, -value / 100 AS lp,
       CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'The ' || upper(event_type) WHEN 2 THEN event_type || '.' ELSE '  a  ' || event_type || ' ' END AS raw
-    FROM numbered QUALIFY count(*) OVER (PARTITION BY user_id, rn // 10) = 10))"""
+    FROM numbered))"""
 RECORDS = SAMPLES + """,
 records AS (
   SELECT user_id, rec, 'd' || (user_id % 3) AS dataset, 'm' || (user_id // 9 % 3) AS model, CAST(user_id // 3 % 3 AS INTEGER) AS seed,
@@ -93,40 +92,35 @@ records AS (
   FROM samples GROUP BY user_id, rec)"""
 MATRIX = RECORDS + """,
 matrices AS (SELECT user_id, rec, list_transform(k, lambda a: list_transform(k, lambda b: CASE WHEN abs(a - b) > 60 THEN 0 WHEN a <= b + 15 THEN 1 ELSE 2 END)) AS c FROM records)"""
-STRICT = "list_transform(range(1, 11), lambda i: list_transform(range(1, 11), lambda j: i = j OR (c[i][j] = 1 AND c[j][i] = 1)))"
-LOOSE = "list_transform(range(1, 11), lambda i: list_transform(range(1, 11), lambda j: i = j OR ((c[i][j] = 1 OR c[j][i] = 1) AND c[i][j] <> 0 AND c[j][i] <> 0)))"
+STRICT = "list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda j: i = j OR (c[i][j] = 1 AND c[j][i] = 1)))"
+LOOSE = "list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda j: i = j OR ((c[i][j] = 1 OR c[j][i] = 1) AND c[i][j] <> 0 AND c[j][i] <> 0)))"
 
 
 def sql_anchor(related: str) -> str:
     """WITH RECURSIVE parts that give anchored(user_id, rec, ids)."""
     return f"""
 scan(user_id, rec, e, i, a, n) AS (
-  SELECT user_id, rec, e, 1, [-1, -1, -1, -1, -1, -1, -1, -1, -1, -1], 0 FROM (SELECT user_id, rec, {related} AS e FROM matrices)
+  SELECT user_id, rec, e, 1, list_transform(e, lambda x: -1), 0 FROM (SELECT user_id, rec, {related} AS e FROM matrices)
   UNION ALL
-  SELECT user_id, rec, e, i + 1, CASE WHEN a[i] <> -1 THEN a ELSE list_transform(range(1, 11), lambda j: CASE WHEN j = i OR (j > i AND e[i][j]) THEN n ELSE a[j] END) END, CASE WHEN a[i] <> -1 THEN n ELSE n + 1 END
-  FROM scan WHERE i <= 10),
-anchored AS (SELECT user_id, rec, list_transform(a, lambda x: CAST(x AS INTEGER)) AS ids FROM scan WHERE i = 11)"""
+  SELECT user_id, rec, e, i + 1, CASE WHEN a[i] <> -1 THEN a ELSE list_transform(range(1, len(e) + 1), lambda j: CASE WHEN j = i OR (j > i AND e[i][j]) THEN n ELSE a[j] END) END, CASE WHEN a[i] <> -1 THEN n ELSE n + 1 END
+  FROM scan WHERE i <= len(e)),
+anchored AS (SELECT user_id, rec, list_transform(a, lambda x: CAST(x AS INTEGER)) AS ids FROM scan WHERE i = len(e) + 1)"""
 
 
 def sql_components(related: str) -> str:
     parts = [f"r0 AS (SELECT user_id, rec, {related} AS r FROM matrices)"]
     for n in range(4):
-        parts.append(f"r{n + 1} AS (SELECT user_id, rec, list_transform(range(1, 11), lambda i: list_transform(range(1, 11), lambda j: len(list_filter(range(1, 11), lambda q: r[i][q] AND r[q][j])) > 0)) AS r FROM r{n})")
+        parts.append(f"r{n + 1} AS (SELECT user_id, rec, list_transform(range(1, len(r) + 1), lambda i: list_transform(range(1, len(r) + 1), lambda j: len(list_filter(range(1, len(r) + 1), lambda q: r[i][q] AND r[q][j])) > 0)) AS r FROM r{n})")
     parts.append("roots AS (SELECT user_id, rec, list_transform(r, lambda row: list_position(row, true)) AS t FROM r4)")
     parts.append("joined AS (SELECT user_id, rec, list_transform(t, lambda x: CAST(len(list_distinct(t[1:list_position(t, x)])) - 1 AS INTEGER)) AS ids FROM roots)")
     return ",\n".join(parts)
 
 
-def sql_full(ids: str = "ids", lp: str = "lp") -> str:
-    mass = f"list_transform(list_sort(list_distinct({ids})), lambda c: list_sum(list_transform(list_filter(range(1, 11), lambda j: {ids}[j] = c), lambda j: exp({lp}[j]))))"
-    return f"(SELECT -sum(m / t * ln(m / t)) FROM (SELECT m, sum(m) OVER () AS t FROM (SELECT unnest({mass}) AS m)) WHERE m > 0)"
-
-
 SCORED = MATRIX + "," + sql_anchor(STRICT) + f""",
 scored AS (
   SELECT r.*, ids, round({sql_entropy('raw')}, 9) AS naive_sample_entropy, round({sql_entropy('norm')}, 9) AS surface_entropy, round({sql_entropy('ids')}, 9) AS discrete_semantic_entropy,
-    round(-list_sum(lp) / 10, 9) AS naive_entropy,
-    round(list_sum(list_transform(list_distinct(ids), lambda v: -(list_sum(list_transform(list_filter(range(1, 11), lambda j: ids[j] = v), lambda j: exp(lp[j]))) / list_sum(list_transform(lp, lambda x: exp(x)))) * ln(list_sum(list_transform(list_filter(range(1, 11), lambda j: ids[j] = v), lambda j: exp(lp[j]))) / list_sum(list_transform(lp, lambda x: exp(x)))))), 9) AS semantic_entropy_full
+    round(-list_sum(lp) / len(lp), 9) AS naive_entropy,
+    round(list_sum(list_transform(list_distinct(ids), lambda v: -(list_sum(list_transform(list_filter(range(1, len(ids) + 1), lambda j: ids[j] = v), lambda j: exp(lp[j]))) / list_sum(list_transform(lp, lambda x: exp(x)))) * ln(list_sum(list_transform(list_filter(range(1, len(ids) + 1), lambda j: ids[j] = v), lambda j: exp(lp[j]))) / list_sum(list_transform(lp, lambda x: exp(x)))))), 9) AS semantic_entropy_full
   FROM records r JOIN anchored USING (user_id, rec))"""
 LONG = SCORED + """,
 long AS (SELECT user_id, rec, dataset, model, seed, correct, method, score FROM scored UNPIVOT (score FOR method IN (naive_sample_entropy, surface_entropy, discrete_semantic_entropy, naive_entropy, semantic_entropy_full)))"""

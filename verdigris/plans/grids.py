@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdigris.operators import bootstrap, grid
@@ -66,13 +67,13 @@ def model_and_all_levels(s, d):
 
 
 @query(f"{W}, {DELTA}, ci AS (SELECT model, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM delta GROUP BY model) SELECT model, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'left' WHEN hi < 0 THEN 'right' ELSE 'neither' END AS side FROM ci")
-def ci_direction_label(s, d):
+def ci_direction_spread(s, d):
     ci = _delta(s, d).groupBy("model").agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"))
     return _r(ci.withColumn("side", grid.direction(c("lo"), c("hi"))), "lo", "hi")
 
 
 @query(f"{W}, {DELTA}, ci AS (SELECT model, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM delta GROUP BY model) SELECT sum(CASE WHEN lo > 0 THEN 1 ELSE 0 END)::BIGINT AS n_left, sum(CASE WHEN hi < 0 THEN 1 ELSE 0 END)::BIGINT AS n_right, round(avg(hi - lo), 6) AS mean_width FROM ci")
-def resampling_schemes(s, d):
+def resampling_schemes_spread(s, d):
     ci = _delta(s, d).groupBy("model").agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"))
     return _r(ci.agg(F.count_if(c("lo") > 0).alias("n_left"), F.count_if(c("hi") < 0).alias("n_right"), F.avg(c("hi") - c("lo")).alias("mean_width")), "mean_width")
 
@@ -130,14 +131,32 @@ def bootstrap_units(s, d):
     return _r(bootstrap.bootstrap_units(units, ["slice"], "delta"), "mean", "lower", "upper")
 
 
+def paired_records(s, d, matched: bool):
+    """Scored records as cells. matched: a record's place in its cell stands for its question, and a dataset's questions
+    are those that all its cells hold."""
+    r = B.scored(s, d).select(F.lit("all").alias("slice"), "dataset", "model", "seed", "user_id", "rec", (~c("correct")).alias("incorrect"), "discrete_semantic_entropy", "surface_entropy")
+    if not matched:
+        return r.withColumn("qid", F.concat_ws("/", "user_id", "rec"))
+    cell = ["dataset", "model", "seed"]
+    r = r.withColumn("qid", F.row_number().over(Window.partitionBy(*cell).orderBy("user_id", "rec")))
+    common = r.groupBy(*cell).count().groupBy("dataset").agg(F.min("count").alias("common"))  # one row per dataset
+    return r.join(F.broadcast(common), "dataset").where("qid <= common")
+
+
 def _paired(scheme: str):
     def run(s, d):
-        r = B.scored(s, d).select(F.lit("all").alias("slice"), "dataset", "model", "seed", F.concat_ws("/", "user_id", "rec").alias("qid"), (~c("correct")).alias("incorrect"), "discrete_semantic_entropy", "surface_entropy")
+        r = paired_records(s, d, scheme in ("linked", "crossed"))
         draws = bootstrap.paired_draws(r, ["slice"], "discrete_semantic_entropy", "surface_entropy", scheme)
         return _r(bootstrap.interval(draws, ["slice"]), "lower", "upper", "p")
 
     return run
 
 
-for _s in ("records", "hier", "crossed"):
+for _s in ("records", "hier", "linked", "crossed"):
     query(None, f"bootstrap_{_s}")(_paired(_s))
+
+
+@query()
+def bootstrap_omissions(s, d):
+    cells = bootstrap.cell_draws(paired_records(s, d, False), ["slice"], "discrete_semantic_entropy", "surface_entropy", "hier")
+    return _r(bootstrap.omissions(cells, ["slice"]), "invalid_cell_fraction", "any_invalid_cell_draw_fraction", "undefined_draw_fraction", "mean_valid_unit_weight")

@@ -100,6 +100,44 @@ def measurements_long(s, d):
     return _r(M.auroc(long, keys, "bad", "score").join(acc, keys), "accuracy", "auroc")
 
 
+MEASURED = ["dataset", "model", "seed", "method"]
+CHARS = "sized AS (SELECT user_id, rec, len(array_to_string(raw, '')) AS chars FROM records)"
+
+
+@query(f"{W}, {CHARS}, {AUROC.format(k='dataset, model, seed, method', w=1)}, base AS (SELECT dataset, model, seed, method, count(*) AS n_records, avg(chars) AS mean_answer_chars, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS accuracy FROM long JOIN sized USING (user_id, rec) GROUP BY ALL), prefix AS ({PREFIX.replace(KEYS, 'dataset, model, seed, method').replace('rows AS (', 'WITH rows AS (', 1)}) SELECT dataset, model, seed, method, n_records, round(mean_answer_chars, 6) AS mean_answer_chars, round(accuracy, 6) AS accuracy, round(auroc, 6) AS auroc, aurac_paper, aurac_mean_retained FROM base JOIN auc USING (dataset, model, seed, method) JOIN prefix USING (dataset, model, seed, method)")
+def cell_measurements(s, d):
+    r = B.scored(s, d).withColumn("chars", F.length(F.array_join("raw", "")))
+    keep = ["user_id", "rec", "dataset", "model", "seed", "correct", "chars"]
+    long = r.select(*keep, *B.METHODS).unpivot(keep, B.METHODS, "method", "score")
+    return _r(M.cell_measurements(long, MEASURED, ORDER), "mean_answer_chars", "accuracy", "auroc", "aurac_paper", "aurac_mean_retained")
+
+
+@query(f"WITH RECURSIVE {B.SCORED} SELECT dataset, model, 'entropy' AS score_field, count(*) FILTER (rec % 4 <> 1) AS scored, count(*) FILTER (rec % 4 = 1) AS degenerate_greedy_excluded FROM scored GROUP BY ALL")
+def score_coverage(s, d):
+    has = c("rec") % 4 != 1
+    r = B.scored(s, d).withColumn("scores", F.when(has, F.create_map(F.lit("entropy"), c("surface_entropy"))).otherwise(F.create_map().cast("map<string,double>")))
+    return M.score_coverage(r, ["dataset", "model"], ["entropy"], ~has)
+
+
+@query(f"WITH RECURSIVE {B.SCORED} SELECT user_id, rec, correct, round(surface_entropy, 6) AS score FROM scored WHERE rec % 4 <> 1")
+def score_pairs(s, d):
+    has = c("rec") % 4 != 1
+    r = B.scored(s, d).withColumns({"scores": F.when(has, F.create_map(F.lit("entropy"), c("surface_entropy"))).otherwise(F.create_map().cast("map<string,double>")), "correctness_label": c("correct")})
+    return _r(M.score_pairs(r, ["user_id", "rec"], "entropy", ~has), "score")
+
+
+@query(f"WITH RECURSIVE {B.SCORED} SELECT dataset, model, count(*) AS n, round(avg(CASE WHEN correct = (k[1] % 3 = 0) THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) FILTER (NOT correct AND k[1] % 3 = 0) AS to_true, count(*) FILTER (correct AND k[1] % 3 <> 0) AS to_false FROM scored GROUP BY ALL")
+def label_flips(s, d):
+    r = B.scored(s, d).withColumn("again", F.get("k", 0) % 3 == 0)
+    return _r(M.flips(r, ["dataset", "model"], "correct", "again"), "agreement")
+
+
+@query()
+def length_diagnostics(s, d):
+    r = B.scored(s, d).select("dataset", "model", (~c("correct")).alias("incorrect"), F.length(F.get("raw", 0)).alias("graded_chars"), F.length(F.array_join("raw", "")).alias("sampled_chars"), F.when(c("rec") % 5 > 0, F.size(F.filter("k", lambda x: x > 70))).alias("caps"), "surface_entropy", "discrete_semantic_entropy")
+    return _r(M.length_diagnostics(r, ["dataset", "model"], "incorrect", "graded_chars", "sampled_chars", "caps", ["surface_entropy", "discrete_semantic_entropy"]), "graded_mean", "sampled_mean", "graded_median", "any_cap_share")
+
+
 SPLIT = """vals AS (SELECT method, score AS v, count(*) AS n FROM long GROUP BY ALL),
 runs AS (SELECT method, v, lead(v) OVER w AS nx, sum(n) OVER w AS cl, sum(n * v) OVER w AS sl, sum(n * v * v) OVER w AS ql, sum(n) OVER p AS ct, sum(n * v) OVER p AS st, sum(n * v * v) OVER p AS qt FROM vals WINDOW w AS (PARTITION BY method ORDER BY v), p AS (PARTITION BY method)),
 sse AS (SELECT method, (v + nx) / 2 AS t, round(ql - sl * sl / cl + (qt - ql) - (st - sl) * (st - sl) / (ct - cl), 9) AS e FROM runs WHERE nx IS NOT NULL)

@@ -61,18 +61,18 @@ def cluster_representatives(s, d):
 
 
 ORDER = [9, 2, 5, 0, 7, 1, 8, 3, 6, 4]
-SQL_ORDER = str([i + 1 for i in ORDER])
+SQL_ORDER = f"list_filter({[i + 1 for i in ORDER]}, lambda x: x <= len(c))"
 
 
 def _permuted():
-    order = F.array(*map(F.lit, ORDER))
+    order = F.filter(F.array(*map(F.lit, ORDER)), lambda i: i < F.size("k"))
     return A.restored(A.anchor_scan(A.submatrix(strict(), order)), order)
 
 
 PERMUTED = f"""{B.MATRIX},
 permuted AS (SELECT user_id, rec, list_transform({SQL_ORDER}, lambda i: list_transform({SQL_ORDER}, lambda j: c[i][j])) AS c FROM matrices),
 {B.sql_anchor(B.STRICT).replace('matrices', 'permuted')},
-back AS (SELECT user_id, rec, list_transform(range(1, 11), lambda i: ids[list_position({SQL_ORDER}, i)]) AS ids FROM anchored)"""
+back AS (SELECT user_id, rec, list_transform(range(1, len(ids) + 1), lambda i: ids[list_position({SQL_ORDER.replace("len(c)", "len(ids)")}, i)]) AS ids FROM anchored)"""
 
 
 @query(f"WITH RECURSIVE {PERMUTED} SELECT user_id, rec, ids FROM back")
@@ -85,7 +85,7 @@ def partition_changed(s, d):
     return B.records(s, d).select("user_id", "rec", (A.first_ids(_permuted()) != A.first_ids(A.anchor_scan(strict()))).alias("changed"))
 
 
-@query(f"WITH {B.RECORDS} SELECT user_id, rec, (SELECT norm[min(j)] FROM (SELECT j, len(list_filter(norm, lambda x: x = norm[j])) AS n FROM (SELECT unnest(range(1, 11)) AS j) QUALIFY n = max(n) OVER ())) AS modal FROM records")
+@query(f"WITH {B.RECORDS} SELECT user_id, rec, (SELECT norm[min(j)] FROM (SELECT j, len(list_filter(norm, lambda x: x = norm[j])) AS n FROM (SELECT unnest(range(1, len(norm) + 1)) AS j) QUALIFY n = max(n) OVER ())) AS modal FROM records")
 def modal_answer(s, d):
     return B.records(s, d).select("user_id", "rec", A.most_frequent(c("norm")).alias("modal"))
 
@@ -95,12 +95,12 @@ def majority_cluster_rep(s, d):
     return B.scored(s, d).select("user_id", "rec", A.majority_representative(c("ids"), c("raw")).alias("rep"))
 
 
-@query(f"WITH {B.RECORDS} SELECT user_id, rec, CASE WHEN user_id % 2 = 0 THEN 'fixed' ELSE (SELECT raw[min(j)] FROM (SELECT j, len(list_filter(raw, lambda x: x = raw[j])) AS n FROM (SELECT unnest(range(1, 11)) AS j) QUALIFY n = max(n) OVER ())) END AS rep FROM records")
+@query(f"WITH {B.RECORDS} SELECT user_id, rec, CASE WHEN user_id % 2 = 0 THEN 'fixed' ELSE (SELECT raw[min(j)] FROM (SELECT j, len(list_filter(raw, lambda x: x = raw[j])) AS n FROM (SELECT unnest(range(1, len(raw) + 1)) AS j) QUALIFY n = max(n) OVER ())) END AS rep FROM records")
 def fixed_representative(s, d):
     return B.records(s, d).select("user_id", "rec", A.fixed_representative(F.when(c("user_id") % 2 == 0, " fixed ").otherwise("  "), c("raw")).alias("rep"))
 
 
-PAIRS = f"{B.RECORDS}, pairs AS (SELECT user_id, rec, i, j, raw[i] AS premise, raw[j] AS hypothesis, k[i] AS ka, k[j] AS kb FROM records, (SELECT unnest(range(1, 11)) AS i), (SELECT unnest(range(1, 11)) AS j) WHERE i <> j)"
+PAIRS = f"{B.RECORDS}, pairs AS (SELECT user_id, rec, i, j, raw[i] AS premise, raw[j] AS hypothesis, k[i] AS ka, k[j] AS kb FROM records, (SELECT unnest(range(1, 11)) AS i), (SELECT unnest(range(1, 11)) AS j) WHERE i <> j AND i <= len(raw) AND j <= len(raw))"
 
 
 @query(f"WITH {PAIRS} SELECT DISTINCT premise, hypothesis FROM pairs WHERE premise <> hypothesis")
@@ -127,7 +127,7 @@ def entailment_matrix(s, d):
     return B.records(s, d).select("user_id", "rec", B.codes(c("k")).alias("matrix"))
 
 
-@query(f"WITH {B.RECORDS} SELECT user_id, rec, list_transform(norm, lambda a: list_transform(norm, lambda b: CASE WHEN a = b THEN 1 WHEN left(a, 1) = left(b, 1) THEN 0 ELSE 2 END)) AS matrix FROM records")
+@query(f"WITH {B.RECORDS} SELECT user_id, rec, list_transform(norm, lambda a: list_transform(norm, lambda b: CASE WHEN a = b THEN 1 WHEN left(a, 1) = left(b, 1) THEN 0 ELSE 2 END)) AS matrix FROM records WHERE len(norm) > 1")
 def pair_pipeline_matrix(s, d):
     def predict(misses):
         return misses.withColumn("label", F.when(F.left("premise", F.lit(1)) == F.left("hypothesis", F.lit(1)), "contradiction").otherwise("neutral"))
@@ -194,11 +194,11 @@ def context_index_lookup(s, d):
     return B.table(s, d, "conversations").select("conv_id", "turn").join(index, "conv_id", "left").select("conv_id", "turn", F.coalesce("q", F.lit(-1)).alias("context"))
 
 
-@query("WITH h AS (SELECT c_mktsegment AS root, c_nationkey AS cell FROM customer GROUP BY ALL), o AS (SELECT s_nationkey AS cell FROM supplier GROUP BY ALL) SELECT root, count(*) AS overlap FROM h JOIN o USING (cell) GROUP BY root QUALIFY row_number() OVER (ORDER BY count(*) DESC, root) = 1")
+@query("WITH h AS (SELECT c_mktsegment AS root, c_nationkey * 10 + c_custkey % 10 AS cell FROM customer GROUP BY ALL), o AS (SELECT s_suppkey % 4 AS grader, s_nationkey * 10 + s_suppkey % 10 AS cell FROM supplier GROUP BY ALL) SELECT grader, root, count(*) AS overlap FROM h JOIN o USING (cell) GROUP BY grader, root QUALIFY row_number() OVER (PARTITION BY grader ORDER BY count(*) DESC, root) = 1")
 def tree_binding(s, d):
-    h = B.table(s, d, "customer").select(c("c_mktsegment").alias("root"), c("c_nationkey").alias("cell")).distinct()
-    o = B.table(s, d, "supplier").select(c("s_nationkey").alias("cell"))
-    return h.join(o, "cell", "left_semi").groupBy("root").agg(F.count("*").alias("overlap")).orderBy(c("overlap").desc(), "root").limit(1)
+    h = B.table(s, d, "customer").select(c("c_mktsegment").alias("root"), (c("c_nationkey") * 10 + c("c_custkey") % 10).alias("cell"))
+    o = B.table(s, d, "supplier").select((c("s_suppkey") % 4).alias("grader"), (c("s_nationkey") * 10 + c("s_suppkey") % 10).alias("cell"))
+    return grid.best_overlap(h, o, "root", "cell", "grader")
 
 
 def _embedded(s, d):

@@ -12,10 +12,23 @@ from verdigris.plans.catalogue import query
 c = F.col
 
 
-@query(r"""SELECT p_partkey, list_filter([CASE WHEN NOT coalesce(p_size > 10, false) THEN 'size' END, CASE WHEN NOT coalesce(p_brand IN ('Brand#11', 'Brand#12', 'Brand#13'), false) THEN 'brand' END, CASE WHEN NOT coalesce(p_retailprice >= 0 AND isfinite(p_retailprice), false) THEN 'price' END], lambda x: x IS NOT NULL) AS violations FROM part""")
+FAULTS = ("model_tier: closed vocabulary", "scores: finite, not negative", "correctness_label: boolean", "reference_answers: not empty", "sampled_answers: num_samples entries")
+
+
+@query(f"WITH RECURSIVE {B.SCORED} SELECT user_id, rec, CASE rec % 6 {' '.join(f'WHEN {i} THEN [{x!r}]' for i, x in enumerate(FAULTS, 1))} ELSE CAST([] AS VARCHAR[]) END AS violations FROM scored")
 def schema_violations(s, d):
-    checks = {"size": c("p_size") > 10, "brand": c("p_brand").isin("Brand#11", "Brand#12", "Brand#13"), "price": Q.finite(c("p_retailprice")) & (c("p_retailprice") >= 0)}
-    return B.table(s, d, "part").select("p_partkey", Q.rules(checks).alias("violations"))
+    """Every sixth record is sound, each of the others breaks one rule of a scored record."""
+    fault = lambda i, bad, good: F.when(c("rec") % 6 == i, bad).otherwise(good)
+    r = B.scored(s, d).withColumns({"sampled_answers": c("raw"), "normalized_answers": c("norm"), "semantic_clusters": c("ids"), "cluster_representatives": A.representatives(c("ids"), c("norm"))})
+    r = r.withColumns({x: F.lit("x") for x in Q.STRINGS} | {"phase": F.lit("phase1"), "cluster": F.lit("local")} | {
+        "model_tier": fault(1, F.lit("huge"), F.lit("small")),
+        "scores": F.create_map(F.lit("surface_entropy"), F.abs("surface_entropy"), F.lit("discrete_semantic_entropy"), F.abs("discrete_semantic_entropy"), F.lit("own"), fault(2, F.lit(float("nan")), F.lit(1.0))),
+        "correctness_label": fault(3, F.lit(None), c("correct")),
+        "reference_answers": fault(4, F.array().cast("array<string>"), F.array(F.lit("x"))),
+        "decoding": F.struct(F.size("raw").alias("num_samples"), F.lit(50).alias("max_new_tokens")),
+    })
+    r = r.withColumn("sampled_answers", fault(5, F.concat("sampled_answers", F.array(F.lit("more"))), c("sampled_answers")))
+    return r.select("user_id", "rec", Q.rules(Q.record_checks(r)).alias("violations"))
 
 
 @query(f"WITH RECURSIVE {B.SCORED} SELECT user_id, rec, CASE WHEN rec % 2 = 1 AND len(list_distinct(ids)) > 0 THEN ['clusters: contiguous', 'representatives: members'] ELSE CAST([] AS VARCHAR[]) END AS violations FROM scored")
@@ -37,9 +50,21 @@ def degenerate_labels(s, d):
     return Q.degenerate_groups(t, ["source"], "toxic")
 
 
-@query("SELECT conv_id, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) <> 2")
+MODELS = "WITH m AS (SELECT user_id % 50 AS job, CASE WHEN user_id % 50 = 7 AND event_id % 97 = 0 THEN 'other' WHEN user_id % 50 = 8 THEN 'wrong' ELSE 'model' END AS model, 'model' AS judge FROM events)"
+
+
+@query(f"{MODELS} SELECT job, count(DISTINCT model) AS n_models FROM m GROUP BY job HAVING count(DISTINCT model) <> 1 OR bool_or(model <> judge)")
 def single_model_gate(s, d):
-    return B.table(s, d, "conversations").groupBy("conv_id").agg(F.countDistinct("role").alias("n_roles")).where("n_roles <> 2")
+    job = c("user_id") % 50
+    model = F.when((job == 7) & (c("event_id") % 97 == 0), "other").when(job == 8, "wrong").otherwise("model")
+    return Q.single_model(B.table(s, d, "events").select(job.alias("job"), model.alias("model"), F.lit("model").alias("judge")), ["job"], "model", "judge")
+
+
+@query("SELECT doc_id, list_filter([CASE doc_id % 5 WHEN 1 THEN 'source: supported' END, CASE WHEN doc_id % 5 IN (1, 2) THEN 'scope: the source''s' END, CASE doc_id % 5 WHEN 3 THEN 'target: not empty' END, CASE doc_id % 5 WHEN 4 THEN 'judge_model: named' END], lambda x: x IS NOT NULL) AS violations FROM labels")
+def provenance_violations(s, d):
+    k = c("doc_id") % 5
+    p = F.struct(F.when(k == 1, "none").otherwise(Q.AUTOMATED[0]).alias("source"), F.when(k == 2, Q.HUMAN[1]).otherwise(Q.AUTOMATED[1]).alias("scope"), F.when(k == 4, " ").otherwise("judge").alias("judge_model"), F.when(k == 3, F.lit(None)).otherwise("t").alias("target"))
+    return B.table(s, d, "labels").select("doc_id", Q.rules(Q.provenance_checks(p)).alias("violations"))
 
 
 @query("(SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL (SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))")

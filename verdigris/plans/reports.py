@@ -58,12 +58,12 @@ GAP_COLUMNS = "round(avg(l), 6) AS left_mean, round(avg(r), 6) AS right_mean, ro
 
 
 @query(f"{W}, {UNITS} SELECT dataset, {GAP_COLUMNS} FROM units GROUP BY dataset")
-def report_backend(s, d):
+def report_backend_spread(s, d):
     return _r(_gaps(s, d, ["dataset"]), "left_mean", "right_mean", "gap", "lo", "hi")
 
 
 @query(f"{W}, {PAIRED}, ci AS (SELECT dataset, model, quantile_cont(l - r, 0.025) AS lo, quantile_cont(l - r, 0.975) AS hi FROM paired GROUP BY ALL) SELECT dataset, sum(CASE WHEN lo > 0 THEN 1 ELSE 0 END)::BIGINT AS n_left, sum(CASE WHEN hi < 0 THEN 1 ELSE 0 END)::BIGINT AS n_right, sum(CASE WHEN lo <= 0 AND hi >= 0 THEN 1 ELSE 0 END)::BIGINT AS n_neither FROM ci GROUP BY dataset")
-def report_all_slices(s, d):
+def report_all_slices_spread(s, d):
     delta = grid.paired_delta(B.order_grid(s, d), ["dataset", "model", "seed"], "method", HIGH, LOW, "value")
     ci = delta.groupBy("dataset", "model").agg(F.percentile("delta", F.lit(0.025)).alias("lo"), F.percentile("delta", F.lit(0.975)).alias("hi"))
     side = ci.select("dataset", grid.direction(c("lo"), c("hi")).alias("side"))
@@ -106,7 +106,7 @@ def report_complete_temperature(s, d):
 
 
 @query(f"{W}, {UNITS} SELECT model, dataset, {GAP_COLUMNS} FROM units GROUP BY model, dataset")
-def report_longform_by_generator(s, d):
+def report_longform_by_generator_spread(s, d):
     return _r(_gaps(s, d, ["model", "dataset"]), "left_mean", "right_mean", "gap", "lo", "hi")
 
 
@@ -131,17 +131,17 @@ def _intervals(s, d, keys, unit=reports.UNIT):
 
 
 @query()
-def report_backend_ci(s, d):
+def report_backend(s, d):
     return _r(_intervals(s, d, ["dataset"]), "left_mean", "right_mean", "gap", "lo", "hi")
 
 
 @query()
-def ci_direction_label_ci(s, d):
+def ci_direction_label(s, d):
     return _r(_intervals(s, d, ["model"]).select("model", "lo", "hi", grid.direction(c("lo"), c("hi")).alias("side")), "lo", "hi")
 
 
 @query()
-def report_all_slices_ci(s, d):
+def report_all_slices(s, d):
     """The slices of a dataset are its seeds; a slice's units are its models."""
     side = _intervals(s, d, ["dataset", "seed"], ("model",)).select("dataset", grid.direction(c("lo"), c("hi")).alias("side"))
     return side.groupBy("dataset").agg(*[F.count_if(c("side") == x).alias(f"n_{x}") for x in ("left", "right", "neither")])
@@ -152,7 +152,7 @@ def _scored(s, d, *more):
 
 
 @query()
-def report_longform_by_generator_ci(s, d):
+def report_longform_by_generator(s, d):
     """Per generator and backend (model and dataset of the scored records), records drawn within cells."""
     keys = ["generator", "backend"]
     r = _scored(s, d, c("model").alias("generator"), c("dataset").alias("backend"))
@@ -160,7 +160,7 @@ def report_longform_by_generator_ci(s, d):
 
 
 @query()
-def resampling_schemes_ci(s, d):
+def resampling_schemes(s, d):
     """Per scheme: discrete semantic entropy against each other score, intervals right of zero, left of it, and their mean width."""
     others = [m for m in B.METHODS if m != "discrete_semantic_entropy"]
     r = _scored(s, d).unpivot(["dataset", "model", "seed", "qid", "incorrect", "discrete_semantic_entropy"], others, "slice", "other")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.functions import arrays as A
 from verdigris.functions import text as T
+from verdigris.operators import lifecycle
 from verdigris.plans import base as B
 from verdigris.plans.catalogue import query
 
@@ -85,17 +85,28 @@ def truncate_stop(s, d):
     return B.samples(s, d).select("user_id", "rec", "i", T.truncate_at_stop(shown).alias("out"))
 
 
-TURNS = "pairs AS (SELECT a.conv_id, a.turn, left(regexp_replace(a.text, '[^ -~]', '', 'g'), 400) AS p, left(regexp_replace(b.text, '[^ -~]', '', 'g'), 400) AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
-F1 = f"""{TURNS}, words AS (SELECT conv_id, turn, list_filter(string_split({B.sql_norm('p')}, ' '), lambda w: w <> '') AS p, list_filter(string_split({B.sql_norm('r')}, ' '), lambda w: w <> '') AS r FROM pairs),
+# Unicode white space and word characters spelled out: DuckDB's \s and \b know ASCII only.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def sql_words(x: str) -> str:
+    """The words of a whole text, normalised as T.normalize_qa does; neighbouring articles share a boundary, so twice."""
+    bare = f"regexp_replace(lower({x}), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    for _ in range(2):
+        bare = f"regexp_replace({bare}, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}])(a|an|the)($|[^\\p{{L}}\\p{{N}}\\p{{M}}])', '\\1 \\3', 'g')"
+    return f"list_filter(string_split_regex({bare}, '{WHITE}'), lambda w: w <> '')"
+
+
+TURNS = f"pairs AS (SELECT a.conv_id, a.turn, {sql_words('a.text')} AS p, {sql_words('b.text')} AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+F1 = f"""{TURNS},
 f1 AS (SELECT conv_id, turn, CASE WHEN len(p) = 0 OR len(r) = 0 THEN CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 ELSE 0.0 END
-  ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(r, lambda x: x = t))))), 0) / (len(p) + len(r)) END AS f FROM words)"""
+  ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(r, lambda x: x = t))))), 0) / (len(p) + len(r)) END AS f FROM pairs)"""
 
 
 def _turns(s, d):
     t = B.table(s, d, "conversations")
-    ascii_ = lambda x: F.left(F.regexp_replace(x, "[^ -~]", ""), F.lit(400))
-    b = t.select("conv_id", (c("turn") - 1).alias("turn"), ascii_(c("text")).alias("r"))
-    return t.select("conv_id", "turn", ascii_(c("text")).alias("p")).join(b, ["conv_id", "turn"])
+    b = t.select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("r"))
+    return t.select("conv_id", "turn", c("text").alias("p")).join(b, ["conv_id", "turn"])
 
 
 @query(f"WITH {F1} SELECT conv_id, turn, round(f, 6) AS f1 FROM f1")
@@ -108,31 +119,16 @@ def best_answer_correct(s, d):
     return _turns(s, d).select("conv_id", "turn", T.best_answer_correct(c("p"), F.array("r", F.lit("")), F.lit("triviaqa")).alias("correct"))
 
 
-def _whole_turns(s, d):
-    t = B.table(s, d, "conversations")
-    b = t.select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("r"))
-    return t.select("conv_id", "turn", c("text").alias("p")).join(b, ["conv_id", "turn"])
-
-
-@query()
-def token_f1_whole(s, d):
-    return _whole_turns(s, d).select("conv_id", "turn", F.round(T.token_f1(T.normalize_qa(c("p")), T.normalize_qa(c("r"))), 6).alias("f1"))
-
-
-@query()
-def best_answer_correct_whole(s, d):
-    return _whole_turns(s, d).select("conv_id", "turn", T.best_answer_correct(c("p"), F.array("r", F.lit("")), F.lit("triviaqa")).alias("correct"))
-
-
 @query(f"WITH {B.RECORDS} SELECT user_id, rec, list_contains(norm, 'click') OR list_contains(norm, 'signup') AS correct FROM records")
 def any_match_correct(s, d):
     return B.records(s, d).select("user_id", "rec", T.any_match_correct(c("norm"), F.array(F.lit("The Click!"), F.lit("signup")), F.lit("triviaqa")).alias("correct"))
 
 
-@query(f"WITH {B.RECORDS}, best AS (SELECT *, (SELECT raw[min(j)] FROM (SELECT j, len(list_filter(raw, lambda x: x = raw[j])) AS n FROM (SELECT unnest(range(1, 11)) AS j) QUALIFY n = max(n) OVER ())) AS m FROM records) SELECT user_id, rec, m AS best, trim({B.sql_norm('m')}) = 'click' AS correct FROM best")
+@query(f"WITH {B.RECORDS}, best AS (SELECT *, (SELECT raw[min(j)] FROM (SELECT j, len(list_filter(raw, lambda x: x = raw[j])) AS n FROM (SELECT unnest(range(1, len(raw) + 1)) AS j) QUALIFY n = max(n) OVER ())) AS m FROM records), told AS (SELECT user_id, rec, CASE rec % 3 WHEN 0 THEN 'A click!' WHEN 1 THEN raw[1] ELSE m END AS best FROM best) SELECT user_id, rec, best, trim({B.sql_norm('best')}) = 'click' AS correct FROM told")
 def paper_correct(s, d):
-    r = B.records(s, d).withColumn("best", F.coalesce(F.lit(None).cast("string"), A.most_frequent(c("raw"))))
-    return r.select("user_id", "rec", "best", T.best_answer_correct(c("best"), F.array(F.lit("click")), F.lit("nqopen")).alias("correct"))
+    """Of a record's greedy answer, its recorded most likely one and its commonest sample the first there is is graded."""
+    r = B.records(s, d).select("user_id", "rec", c("raw").alias("sampled_answers"), F.array(F.lit("click")).alias("reference_answers"), F.lit("nqopen").alias("dataset"), F.when(c("rec") % 3 == 0, "A click!").alias("sep_greedy_answer"), F.when(c("rec") % 3 < 2, F.get("raw", 0)).alias("most_likely_answer"))
+    return lifecycle.graded(r, paper=True).select("user_id", "rec", c("most_likely_answer").alias("best"), c("correctness_label").alias("correct"))
 
 
 VERDICTS = ("Yes.", ' "yes, it does', "- no", "I know", "**YES**", "Maybe")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,53 @@ def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
     shown.coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)
 
 
+def write_summary(df: DataFrame, path: str, digits: int | None = None) -> None:
+    """A small summary as CSV and as JSON lines with sorted keys, under path/csv and path/json."""
+    write_csv(df, f"{path}/csv", digits)
+    df.coalesce(1).select(canonical_json(df).alias("value")).write.text(f"{path}/json")
+
+
+def write_export(df: DataFrame, path: str, sources: DataFrame) -> None:
+    """Gzipped canonical JSONL under path/rows, and under path/manifest the (path, sha256) of what it was made from."""
+    write_jsonl(df, f"{path}/rows", compression="gzip")
+    write_jsonl(sources.select("path", "sha256").orderBy("path").coalesce(1), f"{path}/manifest")
+
+
+def write_replication(train: DataFrame, validation: DataFrame, path: str, num_samples: int, seed: int = 10, few_shot: int = 5, ptrue: int = 20, index: str = "source_index") -> dict:
+    """Train and eval files, few-shot demonstrations, P(True) examples and a manifest, all drawn by one seeded generator.
+
+    Demonstrations and P(True) examples are answerable rows of train; the train draw avoids both. train and validation have
+    question, context, answers (array of strings) and a number per row. Numbers are drawn on the driver, at most
+    num_samples of them; rows are joined back by number.
+    """
+    rng = random.Random(seed)
+    spark = train.sparkSession
+    able = sorted(r[0] for r in train.where(F.exists("answers", lambda a: F.trim(a) != "")).select(index).collect())
+    shots = rng.sample(able, few_shot)
+    examples = rng.sample(sorted(set(able) - set(shots)), ptrue)
+    rest = sorted(set(able) - set(shots) - set(examples))
+    drawn = {"train": rng.sample(rest, min(num_samples, len(rest)))}
+    others = sorted(r[0] for r in validation.select(index).collect())
+    drawn["eval"] = rng.sample(others, min(num_samples, len(others)))
+
+    def picked(df: DataFrame, numbers: list[int]) -> DataFrame:
+        places = spark.createDataFrame(list(zip(numbers, range(len(numbers)), strict=True)), f"{index} long, _place long")
+        return df.join(F.broadcast(places), index).orderBy("_place").drop("_place")
+
+    parts = {"train": picked(train, drawn["train"]), "eval": picked(validation, drawn["eval"]), "ptrue_examples": picked(train, examples)}
+    parts["fewshot"] = picked(train, shots).select("question", F.get("answers", 0).alias("answer"), F.coalesce("context", F.lit("")).alias("context"), index)
+    for name, df in parts.items():
+        write_jsonl(df.coalesce(1), f"{path}/{name}")
+    manifest = {"random_seed": seed, "num_few_shot": few_shot, "p_true_num_fewshot": ptrue, "num_samples": num_samples, "train_size": train.count(), "validation_size": len(others), "prompt_indices": shots, "p_true_indices": examples, "train_selected": drawn["train"], "validation_selected": drawn["eval"], "train_overlap_with_prompts": sorted(set(drawn["train"]) & {*shots, *examples})}
+    write_json(manifest, f"{path}/manifest", spark)
+    return manifest
+
+
+def write_json(value: dict, path: str, spark) -> None:
+    """One JSON object as a text file under path, wherever Spark writes."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.text(path)
+
+
 def write_measurements(df: DataFrame, path: str) -> None:
     """The long fact table, partitioned so that slices prune."""
     df.write.partitionBy("condition", "entailment_backend").parquet(path)
