@@ -46,11 +46,15 @@ def aurac_step(df: DataFrame, keys: list[str], correct: str, score: str, order:
 def aurac_quantiles(df: DataFrame, keys: list[str], correct: str, score: str, quantiles: int = 20, lowest: float = 0.1) -> DataFrame:
     """Accuracy of rows at or below each of the score's quantiles from lowest to 1, left Riemann sum, not normalised."""
     qs = [lowest + (1 - lowest) * i / (quantiles - 1) for i in range(quantiles)]
-    cuts = df.groupBy(*keys).agg(F.percentile(score, F.array(*[F.lit(q) for q in qs])).alias("_cuts"))
-    # The cuts of a group are twenty numbers beside each of its rows: conditional sums instead of a cross join.
-    joined = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
-    sums = joined.groupBy(*keys).agg(*[F.avg(F.when(F.col(score) <= F.get("_cuts", i), F.col(correct).cast("double"))).alias(f"_a{i}") for i in range(quantiles)])
-    return sums.select(*keys, (sum((F.col(f"_a{i}") for i in range(1, quantiles)), F.col("_a0")) * F.lit((1 - lowest) / (quantiles - 1))).alias("aurac_paper"))
+    # The cuts of a group are twenty numbers beside each of its rows: conditional sums in the window's own exchange.
+    cut = df.withColumn("_cuts", F.percentile(score, F.array(*[F.lit(q) for q in qs])).over(Window.partitionBy(*keys)))
+    return cut.groupBy(*keys).agg(below_cuts(correct, score, quantiles, lowest).alias("aurac_paper"))
+
+
+def below_cuts(correct: str, score: str, quantiles: int, lowest: float) -> Column:
+    """The Riemann sum over rows at or below each of _cuts, as one aggregate."""
+    parts = [F.avg(F.when(F.col(score) <= F.get("_cuts", i), F.col(correct).cast("double"))) for i in range(quantiles)]
+    return sum(parts[1:], parts[0]) * F.lit((1 - lowest) / (quantiles - 1))
 
 
 def aurac_prefix(df: DataFrame, keys: list[str], correct: str, score: str, order: list[str], quantiles: int = 20, lowest: float = 0.1) -> DataFrame:
@@ -77,13 +81,21 @@ def best_split_threshold(df: DataFrame, keys: list[str], value: str) -> DataFram
 
 
 def metric_summary(long: DataFrame, keys: list[str], correct: str = "correct", score: str = "score", order: list[str] = ()) -> DataFrame:
-    """One row per group: n, accuracy, auroc of being incorrect, and the areas under rejection curves."""
-    incorrect = long.withColumn("_bad", ~F.col(correct))
-    base = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
-    parts = [auroc(incorrect, keys, "_bad", score), aurac_step(long, keys, correct, score, list(order)), aurac_quantiles(long, keys, correct, score)]
-    for part in parts:
-        base = base.join(part, keys)
-    return base
+    """One row per group: n, accuracy, auroc of being incorrect, and the areas under rejection curves.
+
+    The rows are dealt by group once and read once: average ranks, retained accuracies and quantiles are windows over the
+    same exchange.
+    """
+    quantiles, lowest = 20, 0.1
+    group, c = Window.partitionBy(*keys), F.col(correct).cast("double")
+    rank = F.rank().over(group.orderBy(score)) + (F.count("*").over(Window.partitionBy(*keys, score)) - 1) / 2
+    kept = F.avg(c).over(group.orderBy(F.col(score).desc(), *order).rowsBetween(0, Window.unboundedFollowing))
+    cuts = F.percentile(score, F.array(*[F.lit(lowest + (1 - lowest) * i / (quantiles - 1)) for i in range(quantiles)])).over(group)
+    dealt = long.select(*dict.fromkeys([*keys, correct, score, *order])).repartition(*keys)
+    told = dealt.withColumns({"_rank": rank, "_kept": kept, "_cuts": cuts})
+    bad = F.sum(1 - c)
+    area = F.try_divide(F.sum(F.when(~F.col(correct), F.col("_rank"))) - bad * (bad + 1) / 2, bad * F.sum(c))
+    return told.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(c).alias("accuracy"), area.alias("auroc"), F.avg("_kept").alias("aurac"), below_cuts(correct, score, quantiles, lowest).alias("aurac_paper"))
 
 
 def truncation_rate(truncated: Column, total: Column) -> Column:
