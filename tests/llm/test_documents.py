@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
@@ -50,6 +51,28 @@ def test_packing_is_a_partition_of_the_ids(docs, rows, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_tiers_and_step_groups():
+    """Windows are as long as their tier, but the last one; full step groups hold like numbers of tokens of a like mix of tiers."""
+    rng = random.Random(12)
+    batch = pa.record_batch([pa.array(range(4000), pa.int64()), pa.array(["x" * max(1, int(rng.paretovariate(0.9) * 60) % 6000) for _ in range(4000)])], ["doc_id", "text"])
+    found = list(packing.pack_batches([batch], lambda t: list(range(len(t))), packing.TIERS, 1, 0))
+    rows = [r for b in found for r in b.to_pylist()]
+    windows = defaultdict(list)
+    for r in rows:
+        windows[r["sequence_id"], r["tier"], r["step_group"]].append(r["length"])
+    odd = [(k, sum(v)) for k, v in windows.items() if sum(v) != k[1]]
+    assert len(odd) <= 1 and all(n < packing.TIERS[-1] and k[1] == packing.TIERS[-1] for k, n in odd)
+    groups = defaultdict(Counter)
+    for (_, tier, group), v in windows.items():
+        groups[group][tier] += sum(v)
+    # The last group, and the last before each pool's end, may be short or lack tiers that ran out.
+    full = [g for g in groups.values() if sum(g.values()) >= packing.STEP_TOKENS]
+    assert len(full) >= len(groups) - 1 and all(sum(g.values()) < packing.STEP_TOKENS + packing.TIERS[0] for g in full)
+    assert {r["tier"] for r in rows} <= set(packing.TIERS) and len({r["tier"] for r in rows}) > 1
+    share = [g[packing.TIERS[0]] / sum(g.values()) for g in full[:10]]
+    assert max(share) - min(share) < 0.25
+
+
 def test_fast_tokenizer_paths_agree_with_the_library_on_latin():
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     fast = packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

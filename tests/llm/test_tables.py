@@ -214,33 +214,70 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filters.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+#: What may follow what, written out anew: an optional system turn, then user and assistant in turn, ending with assistant.
+NEXT = {"": {"system", "user"}, "system": {"user"}, "user": {"assistant"}, "assistant": {"user"}}
+
+
+def legal(turns):
+    return all(b in NEXT[a] for a, b in zip(("", *turns), turns)) and (not turns or turns[-1] == "assistant")
+
+
+def outputs(n):
+    """All legal sequences of at most n turns."""
+    return [p for m in range(n + 1) for p in itertools.product(("system", "user", "assistant"), repeat=m) if legal(p)]
+
+
 def brute_cost(roles):
-    """Least (cost, emitted) by exhaustive search over outputs of bounded length."""
-    best = {("start"): (0, 0)}
+    """Least (cost, turns) over every legal output and every way to give the turns to it, by enumeration.
+
+    A way names for each turn the output turn that it goes to, in order: the first of an output turn opens it (2 if its role
+    differs), others merge into it (1, or 3 if their role differs); an output turn that none opens is inserted (3).
+    """
+    best = (9**9, 0)
+    for out in outputs(2 * len(roles) + 2):
+        for way in itertools.combinations_with_replacement(range(len(out)), len(roles)):
+            cost = 3 * (len(out) - len(set(way)))
+            for k, (r, at) in enumerate(zip(roles, way)):
+                again = k and way[k - 1] == at
+                cost += (1 if r == out[at] else 3) if again else (0 if r == out[at] else 2)
+            best = min(best, (cost, len(out)))
+    return best
+
+
+def fast_cost(roles):
+    """The same by a shortest path, for conversations too long to enumerate; held against brute_cost below."""
+    front = {"": (0, 0)}
     for r in roles:
-        role = r if r in chat.ROLES else None
         new = {}
-        for s, (c, n) in best.items():
-            options = []
-            if s != "start":
-                options.append((c + (1 if s == role else 3), n, s))
-            for to in chat.LEGAL[s]:
-                options.append((c + (0 if to == role else 2), n + 1, to))
-                for third in chat.LEGAL[to]:
-                    options.append((c + 3 + (0 if third == role else 2), n + 2, third))
-            for cc, nn, t in options:
+        for s, (c, n) in front.items():
+            ways = [(c + (1 if r == s else 3), n, s)] if s else []
+            for a in NEXT[s]:
+                ways += [(c + (0 if r == a else 2), n + 1, a)] + [(c + 3 + (0 if r == b else 2), n + 2, b) for b in NEXT[a]]
+                ways += [(c + 6 + (0 if r == d else 2), n + 3, d) for b in NEXT[a] for d in NEXT[b]]
+            for cc, nn, t in ways:
                 new[t] = min(new.get(t, (9**9, 0)), (cc, nn))
-        best = new
-    return min((c + 3 * len(chat.closing(s)[1]), n + len(chat.closing(s)[1])) for s, (c, n) in best.items())
+        front = new
+    end = {"": 0, "system": 2, "user": 1, "assistant": 0}
+    return min((c + 3 * end[s], n + end[s]) for s, (c, n) in front.items())
+
+
+def test_the_two_ways_to_the_least_cost_agree():
+    for n in range(5):
+        for roles in itertools.product(("system", "user", "assistant", None), repeat=n):
+            if n < 4 or sum(len(r or '') for r in roles) % 4 == 0:
+                assert fast_cost(roles) == (brute_cost(roles) if n else (0, 0))
 
 
 def test_chat_repair(spark, monkeypatch):
     rng = random.Random(4)
     convs = {i: [rng.choice(["system", "user", "assistant", "user", "assistant", "tool", None]) for _ in range(rng.randrange(1, 9))] for i in range(150)}
     convs |= {1000 + k: list(p) for k, p in enumerate(itertools.product(["system", "user", "assistant"], repeat=3))}
+    want = {c: fast_cost(r) for c, r in convs.items()}
     convs[5000] = ["user", "assistant"] * 800 + ["user", "user", "system"]
     convs[None] = ["user", "assistant"]
+    want |= {c: fast_cost(convs[c]) for c in (5000, None)}
     data = [(c, t, r, rng.choice([None, "", f"text {c} {t}"]), "x") for c, roles in convs.items() for t, r in enumerate(roles)]
+    data[0] = (*data[0][:3], "very long " * 300_000, "x")
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, segment string").repartition(6)
     for segment in (512, 2):
         monkeypatch.setattr(chat, "SEGMENT", segment)
@@ -251,18 +288,18 @@ def test_chat_repair(spark, monkeypatch):
         for c, roles in convs.items():
             rows = sorted(got[c], key=lambda r: (r.segment, r.pos))
             assert [r.role for r in rows] == roles and [r.turn for r in rows] == list(range(len(roles)))
-            assert rows[0].repair_cost == brute_cost(roles)[0]
+            assert rows[0].repair_cost == want[c][0]
             text = "".join(r.rendered for r in rows)
             heads = [x.split("|>")[0] for x in text.split("<|")[1:]]
             turns = heads[::2]
             assert heads[1::2] == ["end"] * len(turns)
-            state = "start"
+            state = ""
             for t in turns:
-                assert t in chat.LEGAL[state]
+                assert t in NEXT[state]
                 state = t
-            assert state == "assistant" and len(turns) == brute_cost(roles)[1]
+            assert state == "assistant" and len(turns) == want[c][1]
             for r in rows:
-                assert turns[r.out_turn] == r.out_role and (r.text_ok if hasattr(r, "text_ok") else True)
+                assert turns[r.out_turn] == r.out_role
     assert chat.format_chats(df.limit(0)).count() == 0
 
 

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import stored
+from verdigris.llm.common import lean, small_batches, stored
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn. LEGAL[s]: the roles that may follow.
@@ -107,7 +107,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     turns before the row and, at a conversation's end, after it; out_turn is the place of the turn that the text went
     to; a conversation's rendered strings, in order of (segment, pos), join to its text.
 
-    Turns are taken in order of (turn, role, text), nulls first. Null ids are one conversation; other roles and null
+    Turns are taken in order of turn, then role, nulls first, and those that tie in both in order of a hash of their text. Null
+    ids are one conversation; other roles and null
     are always relabelled or merged; null texts are empty; repeated rows are turns each; an empty table gives no rows;
     other columns aren't read; texts of any length pass through.
 
@@ -115,6 +116,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     which fixes the states between its segments, and each segment is then solved by itself. So a conversation with a
     third of all turns is spread over many tasks; one task sees one small matrix per 512 of its turns.
     """
+    small_batches(conversations.sparkSession)
     turns = stored(sorted_segments(conversations), "turns")
 
     def solve(key, table):  # noqa: ANN001, ANN202  Spark reads annotations as a choice of API
@@ -167,4 +169,4 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     schema = pa.schema([("conv_id", to_arrow_type(kinds["conv_id"])), ("turn", to_arrow_type(kinds["turn"])), ("role", pa.string()), ("segment", pa.int64()), ("pos", pa.int32()), ("out_role", pa.string()), ("action", pa.string()), ("inserted", pa.list_(pa.string())), ("appended", pa.list_(pa.string())), ("out_turn", pa.int64()), ("rendered", pa.string()), ("repair_cost", pa.int64())])
     spec = f"conv_id {kinds['conv_id'].simpleString()}, turn {kinds['turn'].simpleString()}, role string, segment long, pos int, out_role string, action string, inserted array<string>, appended array<string>, out_turn long, rendered string, repair_cost long"
-    return one.select("segment", "rows", "entry", "leave", "before", "ends", "repair_cost").mapInArrow(render, spec)
+    return one.select("segment", "rows", "entry", "leave", "before", "ends", "repair_cost").mapInArrow(lean(render), spec)
