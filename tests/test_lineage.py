@@ -253,3 +253,33 @@ def test_replication_splits(spark, tmp_path):
     sources = spark.createDataFrame([("b", "2"), ("a", "1")], "path string, sha256 string")
     writers.write_export(train.select("question"), str(tmp_path / "exp"), sources)
     assert "".join(p.read_text() for p in sorted((tmp_path / "exp/manifest").glob("part*"))) == '{"path":"a","sha256":"1"}\n{"path":"b","sha256":"2"}\n'
+
+
+def test_prompts_digests_and_gates(spark):
+    import hashlib
+
+    body = "Question: q\nBrainstormed Answers: \na\nb\np\nPossible answer: p\nIs the possible answer:\nA) True\nB) False\nThe possible answer is:"
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    arr = F.array(F.lit(" a"), F.lit("b "))
+    example = lambda ok: F.struct(F.lit("q").alias("question"), arr.alias("answers"), F.lit("p").alias("proposed"), F.lit(ok).alias("correct"))
+    prefix = one(T.ptrue_prefix(F.array(example(True), example(False))))
+    assert prefix == f"{T.PTRUE_BRIEF}\n\n{body} A\n\n{body} B"
+    assert one(T.ptrue_prompt(F.lit("q"), arr, F.lit("p"), F.lit(prefix + " \n"))) == f"{prefix}\n{body}"
+    assert one(T.ptrue_prompt(F.lit("q"), arr, F.lit("p"), F.lit(""))) == body == one(T.ptrue_prompt(F.lit("q"), arr, F.lit("p")))
+    want = hashlib.sha256(json.dumps(["7", 'é "x"'], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    assert one(T.claim_identity(F.lit(7), F.lit(' é "x" '))) == want
+    with pytest.raises(Exception, match="proposition"):
+        one(T.claim_identity(F.lit(7), F.lit(" ")))
+    rows = [["b", "d", "s", 'q "é"\n', ["x", "y\\"]], ["a", "d", "s", "p", []]]
+    df = spark.createDataFrame(rows, "prompt_id string, dataset string, split string, prompt string, reference_answers array<string>")
+    payload = json.dumps(sorted(rows, key=lambda r: r[0]), ensure_ascii=False, separators=(",", ":"))
+    assert lineage.prompt_content_digest(df).first().digest == hashlib.sha256(payload.encode()).hexdigest()
+    for bad in (df.union(df), df.withColumn("prompt", F.lit(" "))):
+        with pytest.raises(quality.DataQualityError):
+            lineage.prompt_content_digest(bad)
+    answers = spark.createDataFrame([("x" * 90, "yes"), ("x" * 100, "no")], "a string, v string")
+    assert quality.require_answer_length(answers, "a", "chat") == 95 and quality.require_verdicts(answers, "v") == {"no": 1, "yes": 1}
+    with pytest.raises(quality.DataQualityError):
+        quality.require_answer_length(answers, "a", "default")
+    with pytest.raises(quality.DataQualityError):
+        quality.require_verdicts(answers.limit(1), "v")

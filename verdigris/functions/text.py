@@ -17,6 +17,7 @@ BRIEFS = {
     "default": "Answer the following question as briefly as possible.\n",
     "chat": "Answer the following question in a single brief but complete sentence.\n",
 }
+PTRUE_BRIEF = "Answer the following question. Consider the brainstormed answers, then decide whether the proposed answer is correct."
 ENTAILMENT_TEMPLATE = (
     'We are evaluating answers to the question "{question}"\nHere are two possible answers:\nPossible Answer 1: {first}\nPossible Answer 2: {second}\n'
     "Does Possible Answer 1 semantically entail Possible Answer 2? Respond with entailment, contradiction, or neutral."
@@ -48,6 +49,10 @@ def lstrip(c: Column, chars: str) -> Column:
     return F.regexp_replace(c, rf"(?U)^{chars}+", "")
 
 
+def rstrip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+
+
 def collapse(c: Column) -> Column:
     return F.regexp_replace(strip(c), rf"(?U){SPACE}+", " ")
 
@@ -202,9 +207,17 @@ def resolve_question(question: Column, prompt: Column) -> Column:
     return F.when(q != p, F.raise_error(F.lit("record has conflicting question and prompt fields")).cast("string")).otherwise(F.coalesce(q, p))
 
 
-def ptrue_prompt(question: Column, answers: Column, proposed: Column) -> Column:
+def ptrue_prompt(question: Column, answers: Column, proposed: Column, prefix: Column | None = None) -> Column:
+    """The P(True) prompt of one record, behind a few-shot prefix where there is one."""
     lines = F.array_join(F.transform(F.concat(answers, F.array(proposed)), lambda a: strip(a)), "\n")
-    return F.concat_ws("\n", F.concat(F.lit("Question: "), strip(question)), F.lit("Brainstormed Answers: "), lines, F.concat(F.lit("Possible answer: "), strip(proposed)), F.lit("Is the possible answer:"), F.lit("A) True"), F.lit("B) False"), F.lit("The possible answer is:"))
+    body = F.concat_ws("\n", F.concat(F.lit("Question: "), strip(question)), F.lit("Brainstormed Answers: "), lines, F.concat(F.lit("Possible answer: "), strip(proposed)), F.lit("Is the possible answer:"), F.lit("A) True"), F.lit("B) False"), F.lit("The possible answer is:"))
+    return body if prefix is None else F.concat(F.when(F.coalesce(prefix, F.lit("")) == "", "").otherwise(F.concat(rstrip(prefix), F.lit("\n"))), body)
+
+
+def ptrue_prefix(examples: Column) -> Column:
+    """A few-shot prefix from labelled examples: array of struct(question, answers, proposed, correct)."""
+    shown = F.transform(examples, lambda e: F.concat(ptrue_prompt(e["question"], e["answers"], e["proposed"]), F.when(e["correct"], " A").otherwise(" B"), F.lit("\n")))
+    return rstrip(F.concat_ws("\n", F.lit(PTRUE_BRIEF), F.lit(""), F.array_join(shown, "\n")))
 
 
 def completion_prompt(question: Column, demonstrations: Column | None = None, regime: str = "chat", context: Column | None = None) -> Column:
@@ -261,6 +274,15 @@ def question_id(dataset: Column, question: Column) -> Column:
     return F.sha2(F.concat_ws("\0", dataset, question), 256)
 
 
+def claim_identity(claim_id: Column, proposition: Column) -> Column:
+    """SHA-256 of both, stripped, as a JSON array: it binds a label to one exact claim; blank ones are an error."""
+    parts = []
+    for name, c in (("claim_id", claim_id), ("proposition", proposition)):
+        text = strip(c.cast("string"))
+        parts.append(F.when(F.coalesce(text, F.lit("")) == "", F.raise_error(F.lit(f"{name} must not be empty")).cast("string")).otherwise(text))
+    return F.sha2(F.to_json(F.array(*parts)), 256)
+
+
 def hex_decimal(digits: Column, n: int) -> Column:
     """A number of n hexadecimal digits (at most 32) in decimal, by decimal(38) arithmetic on pieces of seven digits."""
     total = F.lit(0).cast("decimal(38,0)")

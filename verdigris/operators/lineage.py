@@ -69,6 +69,28 @@ def content_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(row.alias("h")).distinct().agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("digest"))
 
 
+def prompt_content_digest(records: DataFrame) -> DataFrame:
+    """digest: SHA-256 of the held-out prompts as one JSON array, sorted by id; an error for blank, missing or repeated ones.
+
+    The array's bytes are fixed, so it is put together in one place; it holds the prompts of one split, not its records.
+    """
+    names = ["prompt_id", "dataset", "split", "prompt"]
+    blank = rules({f"{c}: not empty": F.trim(c) != "" for c in names} | {"reference_answers: strings": F.forall("reference_answers", lambda r: r.isNotNull())})
+    bad = records.select("prompt_id", blank.alias("v")).where(F.size("v") > 0).limit(3).collect()
+    twice = records.groupBy("prompt_id").count().where("count > 1").limit(3).collect()
+    if bad or twice:
+        raise DataQualityError(f"prompts that can't be told apart or are incomplete: {[r.asDict() for r in bad + twice]}")
+    parts = F.concat(F.lit("["), F.array_join(F.concat(F.transform(F.array(*names), _json), F.array(F.to_json("reference_answers"))), ","), F.lit("]"))
+    one = records.select(F.struct("prompt_id", parts.alias("json")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return one.select(F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")), 256).alias("digest"))
+
+
+def _json(text: Column) -> Column:
+    """A string as JSON: what an array of it alone is, without the brackets."""
+    whole = F.to_json(F.array(text))
+    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+
+
 def probe_fits(probes: DataFrame, fits: DataFrame) -> DataFrame:
     """probes with their fit, by the SHA-256 of the fit's file; an error unless every probe has exactly one."""
     met = probes.join(fits.withColumnRenamed("sha256", "fit_sha256"), "fit_sha256", "left")

@@ -258,3 +258,24 @@ def spread_gate(df: DataFrame, keys: list[str], value: str, digits: int, least:
 def median_gate(df: DataFrame, keys: list[str], text: str, least: int = 300) -> DataFrame:
     """(keys, n, median_length) of groups whose texts are shorter than least in the median."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.length(text), F.lit(0.5)).alias("median_length")).where(F.col("median_length") < least)
+
+
+# Mean and deviation of published answer lengths, by regime.
+ANSWER_CHARS = {"default": (15.9, 21.8), "chat": (95.6, 69.6)}
+
+
+def require_answer_length(df: DataFrame, answer: str, regime: str, deviations: float = 1.0) -> float:
+    """The mean answer length in characters; an error unless it's within the regime's published band."""
+    mean, sd = ANSWER_CHARS[regime]
+    found = df.agg(F.avg(F.length(answer))).first()[0]
+    if found is None or abs(found - mean) > deviations * sd:
+        raise DataQualityError(f"mean answer length {found} is outside {mean} +- {deviations * sd} of {regime!r}")
+    return found
+
+
+def require_verdicts(df: DataFrame, label: str) -> dict[str, int]:
+    """How often each verdict occurs; a single one for all rows is an error, as a wrong prompt or parse gives."""
+    found = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).collect()}
+    if len(found) < 2:
+        raise DataQualityError(f"a single verdict for every pair: {found}")
+    return found
