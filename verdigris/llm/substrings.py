@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import KEPT, broadcast_if_small, free_name, kept_since, lean, numbered, quoted, small_batches, stored
+from verdigris.llm.common import KEPT, free_name, kept_since, lean, numbered, quoted, small_batches, stored
 
 WINDOW = 35
 #: Words of a k-mer. Of the WINDOW - KMER + 1 k-mers of a window the one of least hash (the leftmost) is its edge.
@@ -21,6 +21,8 @@ BASE2 = np.uint64(0xD1B54A32D192ED03)
 KEPT_WORDS = 400_000
 #: Documents from which hot k-mers are taken, and the share of them that makes a k-mer hot. They only spread work.
 HOT_SAMPLE, HOT_SHARE, HOT_KMERS = 8000, 1 / 256, 1 << 16
+#: Rows of a partition in which runs are contracted.
+RUN_ROWS = 100_000
 #: What tells rows apart.
 KEY = ["__f", "__r"]
 PATH = ["context", "check"]
@@ -195,12 +197,14 @@ def heads(steps: DataFrame) -> DataFrame:
     before = list(KEPT)
     nodes = stored(steps.groupBy("node").agg(F.count("*").alias("n"), F.count("next").alias("m"), F.min("next").alias("next"), F.max("next").alias("other")), "nodes")
     links = nodes.where("m = n and next = other").select(F.col("node").alias("head"), F.col("next").alias("node"), "n")
-    live = stored(links.join(nodes.select("node", "n"), ["node", "n"]).select("node", "head", F.lit(1).cast("long").alias("dist")), "runs")
+    # So many partitions as the rows need, for each round writes them.
+    parts = -(-nodes.count() // RUN_ROWS) or 1
+    live = stored(links.join(nodes.select("node", "n").hint("merge"), ["node", "n"]).select("node", "head", F.lit(1).cast("long").alias("dist")).coalesce(parts), "runs")
     while True:
         old = kept_since(before)
         far = live.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("dist").alias("more"))
-        jumped = live.join(far, "head", "left").select("node", F.coalesce("far", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("far").isNotNull().alias("moved"))
-        live = stored(jumped, "runs", clear=old)
+        jumped = live.join(far.hint("merge"), "head", "left").select("node", F.coalesce("far", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("far").isNotNull().alias("moved"))
+        live = stored(jumped.coalesce(parts), "runs", clear=old)
         if live.where("moved").isEmpty():
             return live.select("node", "head", "dist")
         live = live.select("node", "head", "dist")
@@ -213,8 +217,8 @@ def compacted(paths: DataFrame) -> DataFrame:
     follows = F.lead("first").over(order) == F.col("last") + 1
     steps = paths.where("repeated").select(*KEY, "first", "last", node.alias("node"), F.when(follows, F.lead(node).over(order)).alias("next"), F.row_number().over(order).alias("place"))
     steps = stored(steps, "steps")
-    found = heads(steps)
-    met = steps.join(broadcast_if_small(found, found.count(), 48), "node", "left")
+    # A hot path is many rows of steps beside one of heads: sorted and merged, adaptive execution splits it.
+    met = steps.join(heads(steps).hint("merge"), "node", "left")
     begun = met.select(*KEY, "first", "last", F.coalesce("head", "node").alias("head"), (F.col("place") - F.coalesce("dist", F.lit(0))).alias("begin"))
     return begun.groupBy(*KEY, "head", "begin").agg(F.min("first").alias("first"), F.max("last").alias("last")).select(*KEY, "first", "last")
 
