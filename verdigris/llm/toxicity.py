@@ -30,6 +30,8 @@ FITTED = 50_000
 MINED, SHORTEST, LONGEST, CHANCE = 128, 3, 8, 1e-6
 #: Rounds with independent voters, and then with their dependencies; prior counts of rates and of conditional rates.
 ROUNDS, TREE_ROUNDS, STRENGTH, PAIR_STRENGTH = 6, 4, 50, 10
+#: Partitions of small tables.
+PARTS = 32
 #: Twice the log-likelihood (chi squared) that a dependency must gain.
 DEPENDENT = 25.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -111,7 +113,7 @@ def mine(sample: DataFrame, most: int = MINED) -> tuple[list[str], float]:
                 keys = [*pos, *(b for b in neg if b not in pos)]
                 yield pa.RecordBatch.from_arrays([pa.array([*keys, ""], pa.string()), pa.array([*(pos.get(b, 0) for b in keys), rows[1]], pa.int64()), pa.array([*(neg.get(b, 0) for b in keys), rows[0]], pa.int64())], ["b", "pos", "neg"])
 
-    counts = stored(sample.mapInArrow(lean(opened), "b string, pos long, neg long").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "beginnings")
+    counts = stored(sample.mapInArrow(lean(opened), "b string, pos long, neg long").groupBy("b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).coalesce(PARTS), "beginnings")
     total = counts.where("b = ''").first()
     p, n = (total["pos"], total["neg"]) if total else (0, 0)
     if not p or not n:
@@ -268,8 +270,8 @@ def maximised(pairs: np.ndarray, parent: np.ndarray, trusted: np.ndarray) -> Lab
 def label_model(patterns: DataFrame, n_voters: int, share: float, trusted: np.ndarray) -> LabelModel:
     """The generative model of the votes by expectation maximisation over all documents' vote patterns.
 
-    patterns (fired, n) holds each distinct pattern once; every round sums expected counts of single voters and pairs
-    in Spark and brings back (n_voters + 1)**2 numbers at most. trusted: firing rates under label 1 and 0 to start
+    patterns (fired, n) holds each distinct pattern once, in PARTS partitions at most; every round sums expected counts of
+    single voters and pairs in each and brings back (n_voters + 1)**2 numbers of it at most. trusted: firing rates under label 1 and 0 to start
     from, which also act as prior counts. After ROUNDS rounds with independent voters, those that are correlated within
     the labels become each other's parents, and TREE_ROUNDS more rounds estimate accuracies and correlations together.
     """
@@ -289,10 +291,12 @@ def label_model(patterns: DataFrame, n_voters: int, share: float, trusted: np.nd
             i, j = np.nonzero(sums.sum(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[0, i, j]), pa.array(sums[1, i, j])], ["i", "j", "zero", "one"])
 
-        found = patterns.mapInArrow(expect, "i int, j int, zero double, one double").groupBy("i", "j").agg(F.sum("zero"), F.sum("one")).collect()
+        # PARTS * (n_voters + 1)**2 sums at most.
+        found = patterns.mapInArrow(expect, "i int, j int, zero double, one double").toArrow()
         pairs = np.zeros((2, n_voters + 1, n_voters + 1))
-        for i, j, zero, one in found:
-            pairs[:, i, j] = zero, one
+        i, j = (found[x].to_numpy() for x in ("i", "j"))
+        np.add.at(pairs[0], (i, j), found["zero"].to_numpy())
+        np.add.at(pairs[1], (i, j), found["one"].to_numpy())
         parent = none if turn < ROUNDS - 1 else dependencies(pairs) if turn == ROUNDS - 1 else model.parent
         model = maximised(pairs, parent, trusted)
     return model
@@ -326,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int, fitted: int, *keep: s
     """(model, votes on all documents with doc_id and the columns keep). Only labelled rows that aren't held out are learnt from."""
     small_batches(docs.sparkSession)
     picked = stored(picked_labels(labels, labelled), "labelled")
-    mined, share = mine(stored(labelled_sample(docs, picked), "sample"))
+    mined, share = mine(stored(labelled_sample(docs, picked).coalesce(PARTS), "sample"))
     voters = voters_for(mined)
     n = len(voters)
     cast = stored(votes(docs, voters, *keep), "votes")
@@ -344,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int, fitted: int, *keep: s
     rows = cast.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fitted).select("fired").toArrow()["fired"].to_pylist()
     if not rows:
         return Model(voters, np.zeros(n), -3.0), cast
-    found = label_model(stored(cast.groupBy("fired").agg(F.count("*").alias("n")), "patterns"), n, share, trusted)
+    found = label_model(stored(cast.groupBy("fired").agg(F.count("*").alias("n")).coalesce(PARTS), "patterns"), n, share, trusted)
     weights, bias = fit_linear(rows, np.array([found.posterior(f) for f in rows]), n)
     return Model(voters, weights, bias), cast
 
