@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from verdigris.functions import arrays as A
 
 
 def both(spark, name, folder, table):
@@ -36,3 +38,12 @@ def test_pool_hidden_mean(spark, tmp_path, case):
     spark.createDataFrame(VECTORS[case], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = both(spark, "pool_hidden_mean", tmp_path, "embeddings")
     assert got == want
+
+
+def test_a_permuted_matrix_is_computed_once(spark):
+    """Random matrices and labels show how often they are computed: once, all picks of one cell are equal."""
+    matrix = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda _: F.array(F.rand(), F.rand()))
+    order = F.array(F.lit(1), F.lit(1), F.lit(1))
+    got = spark.range(1).select(A.submatrix(matrix, order).alias("m"), A.restored(F.array_repeat(F.rand(), 3), F.array(F.lit(2), F.lit(0), F.lit(1))).alias("r")).first()
+    assert len({x for row in got.m for x in row}) == 1
+    assert len(set(got.r)) == 1

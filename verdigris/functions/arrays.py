@@ -105,12 +105,12 @@ def anchor_scan(related: Column) -> Column:
 
 def submatrix(matrix: Column, order: Column) -> Column:
     """Rows and columns picked by positions (from 0) in the given order."""
-    return let(order, lambda o: F.transform(o, lambda i: F.transform(o, lambda j: F.get(F.get(matrix, i), j))))
+    return let(matrix, lambda m: let(order, lambda o: F.transform(o, lambda i: let(F.get(m, i), lambda row: F.transform(o, lambda j: F.get(row, j))))))
 
 
 def restored(labels: Column, order: Column) -> Column:
     """Labels given in a permuted order, put back to the original positions."""
-    return F.transform(F.sequence(F.lit(0), F.size(order) - 1), lambda i: F.get(labels, (F.array_position(order, i) - 1).cast("int")))
+    return let(labels, lambda v: let(order, lambda o: F.transform(F.sequence(F.lit(0), F.size(o) - 1), lambda i: F.get(v, (F.array_position(o, i) - 1).cast("int")))))
 
 
 def representatives(ids: Column, normalized: Column) -> Column:
