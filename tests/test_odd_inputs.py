@@ -47,3 +47,8 @@ def test_a_permuted_matrix_is_computed_once(spark):
     got = spark.range(1).select(A.submatrix(matrix, order).alias("m"), A.restored(F.array_repeat(F.rand(), 3), F.array(F.lit(2), F.lit(0), F.lit(1))).alias("r")).first()
     assert len({x for row in got.m for x in row}) == 1
     assert len(set(got.r)) == 1
+
+
+def test_partition_changed_computes_its_relation_once(spark):
+    plan = entry.queries()["partition_changed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("abs(") == 1

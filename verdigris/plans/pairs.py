@@ -64,9 +64,9 @@ ORDER = [9, 2, 5, 0, 7, 1, 8, 3, 6, 4]
 SQL_ORDER = f"list_filter({[i + 1 for i in ORDER]}, lambda x: x <= len(c))"
 
 
-def _permuted():
+def _permuted(related):
     order = F.filter(F.array(*map(F.lit, ORDER)), lambda i: i < F.size("k"))
-    return A.restored(A.anchor_scan(A.submatrix(strict(), order)), order)
+    return A.restored(A.anchor_scan(A.submatrix(related, order)), order)
 
 
 PERMUTED = f"""{B.MATRIX},
@@ -77,12 +77,13 @@ back AS (SELECT user_id, rec, list_transform(range(1, len(ids) + 1), lambda i: i
 
 @query(f"WITH RECURSIVE {PERMUTED} SELECT user_id, rec, ids FROM back")
 def cluster_subset_order(s, d):
-    return B.records(s, d).select("user_id", "rec", _permuted().alias("ids"))
+    return B.records(s, d).select("user_id", "rec", _permuted(strict()).alias("ids"))
 
 
 @query(f"WITH RECURSIVE {PERMUTED}, {B.sql_anchor(B.STRICT).replace('scan', 'scan2').replace('anchored', 'plain')} SELECT a.user_id, a.rec, {FIRST.format(x='a.ids')} <> {FIRST.format(x='p.ids')} AS changed FROM back a JOIN plain p USING (user_id, rec)")
 def partition_changed(s, d):
-    return B.records(s, d).select("user_id", "rec", (A.first_ids(_permuted()) != A.first_ids(A.anchor_scan(strict()))).alias("changed"))
+    changed = T.let(strict(), lambda r: A.first_ids(_permuted(r)) != A.first_ids(A.anchor_scan(r)))
+    return B.records(s, d).select("user_id", "rec", changed.alias("changed"))
 
 
 @query(f"WITH {B.RECORDS} SELECT user_id, rec, (SELECT norm[min(j)] FROM (SELECT j, len(list_filter(norm, lambda x: x = norm[j])) AS n FROM (SELECT unnest(range(1, len(norm) + 1)) AS j) QUALIFY n = max(n) OVER ())) AS modal FROM records")
