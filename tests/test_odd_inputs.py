@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from verdigris.functions import arrays as A
+from verdigris.operators import metrics
 
 
 def both(spark, name, folder, table):
@@ -52,3 +53,26 @@ def test_a_permuted_matrix_is_computed_once(spark):
 def test_partition_changed_computes_its_relation_once(spark):
     plan = entry.queries()["partition_changed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert plan.count("abs(") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_retained_accuracies_are_a_running_mean(spark):
+    """A frame from each row to the group's end would be summed anew for every row."""
+    rows = [(g, x, (x * 7 + g) % 3 == 0, None if x % 11 == 0 else float(x % 5)) for g in range(2) for x in range(40)]
+    df = spark.createDataFrame(rows, "g int, x int, ok boolean, s double")
+    curve = metrics.rejection_curve(df, ["g"], "ok", "s", ["x"])
+    assert "currentrow$(), unboundedfollowing" not in plan_of(curve)
+    got = {(r.g, r.rejected): (r.retained, r.accuracy) for r in curve.collect()}
+    means = {}
+    for g in range(2):
+        ordered = sorted((r for r in rows if r[0] == g), key=lambda r: (r[3] is None, -(r[3] or 0), r[1]))
+        for k in range(40):
+            left = [r[2] for r in ordered[k:]]
+            assert got.pop((g, k)) == (len(left), pytest.approx(sum(left) / len(left)))
+            means[g] = means.get(g, 0) + sum(left) / len(left) / 40
+    assert not got
+    step = {r.g: r.aurac for r in metrics.aurac_step(df, ["g"], "ok", "s", ["x"]).collect()}
+    assert step == pytest.approx(means)

@@ -30,12 +30,20 @@ def auroc_by_ranks(df: DataFrame, keys: list[str], positive: str, score: str) ->
 
 def rejection_curve(df: DataFrame, keys: list[str], correct: str, score: str, order: list[str]) -> DataFrame:
     """keys, rejected, retained, coverage, rejection_fraction, accuracy: the most uncertain rows go first, ties by order."""
-    by = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *order)
-    left = by.rowsBetween(0, Window.unboundedFollowing)
+    accuracy, retained = kept_accuracy(keys, correct, score, order)
     n = F.count("*").over(Window.partitionBy(*keys))
-    rejected = F.row_number().over(by) - 1
-    curve = df.select(*keys, rejected.alias("rejected"), (n - rejected).alias("retained"), F.avg(F.col(correct).cast("double")).over(left).alias("accuracy"), n.alias("_n"))
-    return curve.select(*keys, F.col("rejected").cast("long").alias("rejected"), "retained", (F.col("retained") / F.col("_n")).alias("coverage"), (F.col("rejected") / F.col("_n")).alias("rejection_fraction"), "accuracy")
+    curve = df.select(*keys, (n - retained).alias("rejected"), retained.alias("retained"), accuracy.alias("accuracy"), n.alias("_n"))
+    return curve.select(*keys, F.col("rejected").cast("long").alias("rejected"), F.col("retained").cast("long").alias("retained"), (F.col("retained") / F.col("_n")).alias("coverage"), (F.col("rejected") / F.col("_n")).alias("rejection_fraction"), "accuracy")
+
+
+def kept_accuracy(keys: list[str], correct: str, score: str, order: list[str]) -> tuple[Column, Column]:
+    """(accuracy, number) of the rows left once all that are more uncertain are gone, this one kept.
+
+    The rows are met from the last one rejected: a running mean, where a frame up to the group's end would be added up
+    anew for every row.
+    """
+    by = Window.partitionBy(*keys).orderBy(F.col(score).asc_nulls_first(), *[F.col(o).desc_nulls_last() for o in order])
+    return F.avg(F.col(correct).cast("double")).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(by)
 
 
 def aurac_step(df: DataFrame, keys: list[str], correct: str, score: str, order: list[str]) -> DataFrame:
