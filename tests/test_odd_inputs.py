@@ -76,3 +76,10 @@ def test_retained_accuracies_are_a_running_mean(spark):
     assert not got
     step = {r.g: r.aurac for r in metrics.aurac_step(df, ["g"], "ok", "s", ["x"]).collect()}
     assert step == pytest.approx(means)
+
+
+def test_metric_summary_uses_a_running_mean(spark):
+    df = spark.createDataFrame([(0, 1, True, 0.5), (0, 2, False, 0.7)], "g int, x int, correct boolean, score double")
+    found = metrics.metric_summary(df, ["g"], order=["x"])
+    assert "currentrow$(), unboundedfollowing" not in plan_of(found)
+    assert found.first().aurac == pytest.approx(0.75)

@@ -97,7 +97,7 @@ def metric_summary(long: DataFrame, keys: list[str], correct: str = "correct", s
     quantiles, lowest = 20, 0.1
     group, c = Window.partitionBy(*keys), F.col(correct).cast("double")
     rank = F.rank().over(group.orderBy(score)) + (F.count("*").over(Window.partitionBy(*keys, score)) - 1) / 2
-    kept = F.avg(c).over(group.orderBy(F.col(score).desc(), *order).rowsBetween(0, Window.unboundedFollowing))
+    kept, _ = kept_accuracy(keys, correct, score, order)
     cuts = F.percentile(score, F.array(*[F.lit(lowest + (1 - lowest) * i / (quantiles - 1)) for i in range(quantiles)])).over(group)
     dealt = long.select(*dict.fromkeys([*keys, correct, score, *order])).repartition(*keys)
     told = dealt.withColumns({"_rank": rank, "_kept": kept, "_cuts": cuts})
