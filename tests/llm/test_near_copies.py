@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from verdigris.llm import near_copies, simhash
 
 
@@ -67,3 +69,23 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     kept = near_copies.one_of_each(docs)
     assert kept.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(5, base), (7, "lone"), (None, "other"), (5, "not a copy"), (8, "")])
+
+
+def test_simhash_links_the_nearest_before_the_bands(spark):
+    """Copies within 3 bits meet through op9's anchors, whatever the slices; bands are asked only where links are missing."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join(base)] + [" ".join([*base, *[f"t{i}x{j}" for j in range(i % 3 + 1)]]) for i in range(40)] + ["lone text of six other words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    sets = near_copies.signatures(docs).drop("doc_id").localCheckpoint()
+    assert sets.select("set").distinct().count() == len(texts)
+    links = {r.node: r.root for r in simhash.linked(sets.select("fp").distinct()).collect()}
+    group = Counter(links.get(r.fp, r.fp) for r in sets.collect())
+    assert group.most_common(1)[0][1] > 20
+    for side in (256, 4):
+        members = near_copies.fingerprint_groups(sets.select("set", "n", "fp"), side)
+        edges = near_copies.confirmed(members, sets, docs, 5, 0.8)
+        joined = Counter(r.root for r in near_copies.connected_components(edges).collect())
+        assert sorted(joined.values()) == sorted(n for n in group.values() if n > 1)
+    assert near_copies.buckets(sets.withColumn("root", F.col("set"))).count() > 0
+    assert near_copies.buckets(sets.withColumn("root", F.lit(1).cast("long"))).count() == 0

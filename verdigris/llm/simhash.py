@@ -35,7 +35,12 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     hashed, seed = xxhash.xxh64_intdigest, 42
-    hashes = np.array([hashed(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], "<u8")
+    return majority(np.array([hashed(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: bit i is set if over half of the hashes have it; zero for none."""
+    hashes = hashes.astype("<u8", copy=False)
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     above = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(above, bitorder="little").view("<u8")[0])
@@ -160,6 +165,15 @@ def compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         yield out
 
 
+def linked(fps: DataFrame, radius: int = RADIUS, side: int = SIDE) -> DataFrame:
+    """fps (fp), distinct -> (node, root): the components of links of at most radius bits; only fingerprints that have a link."""
+    if radius > RADIUS:
+        raise ValueError("the two-block code covers links of up to 3 bits")
+    rows = squares(anchored(fps), side)
+    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return connected_components(dealt.select("anchor", "part", "fp", "home").mapInArrow(lambda batches: compare(batches, radius), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row: 16 hex digits, and the smallest doc_id that links of <= radius bits reach.
 
@@ -175,11 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("the two-block code covers links of up to 3 bits")
     known = stored(fingerprints(docs, doc_id, text, words), "fingerprints")
     distinct = known.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rows = squares(anchored(distinct.select("fp")))
-    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    edges = dealt.select("anchor", "part", "fp", "home").mapInArrow(lambda batches: compare(batches, radius), "a long, b long")
-    linked = connected_components(edges)
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(linked(distinct.select("fp"), radius).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     # A component's least id, on the linked fingerprints and the lone ones alike.
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
